@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, simhash
+from . import bpe, mpeg, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op2_bpe": bpe.op2_bpe,
+        "op7_mpeg": mpeg.op7_mpeg,
         "op10_simhash": simhash.op10_simhash,
     }
 
