@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mpeg, simhash
+from . import bpe, chat, mpeg, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     return {
         "op2_bpe": bpe.op2_bpe,
         "op7_mpeg": mpeg.op7_mpeg,
+        "op8_chat": chat.op8_chat,
         "op10_simhash": simhash.op10_simhash,
     }
 
