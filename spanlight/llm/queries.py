@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, mpeg, simhash, tokenfiles
+from . import bpe, chat, mainpage, mpeg, simhash, tokenfiles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op2_bpe": bpe.op2_bpe,
+        "op3_html": mainpage.op3_html,
         "op6_arrow_sequences": tokenfiles.op6_arrow_sequences,
         "op7_mpeg": mpeg.op7_mpeg,
         "op8_chat": chat.op8_chat,
