@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, mainpage, mpeg, simhash, tokenfiles
+from . import bpe, chat, mainpage, mpeg, quality, simhash, tokenfiles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_quality": quality.op1_quality,
         "op2_bpe": bpe.op2_bpe,
         "op3_html": mainpage.op3_html,
         "op6_arrow_sequences": tokenfiles.op6_arrow_sequences,
@@ -23,4 +24,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_quality": quality.ORACLE_SQL,
+    }

@@ -107,7 +107,7 @@ def write_shards(docs: DataFrame, uri: str, id_col: str = "doc_id", text_col: st
     small_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"))
-    rows = rows.repartitionByRange("id", "text").sortWithinPartitions("id", "text")
+    rows = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
