@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, mainpage, mpeg, quality, simhash, tokenfiles
+from . import bpe, chat, mainpage, mpeg, quality, simhash, tokenfiles, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Query]:
         "op6_arrow_sequences": tokenfiles.op6_arrow_sequences,
         "op7_mpeg": mpeg.op7_mpeg,
         "op8_chat": chat.op8_chat,
+        "op9_toxicity": toxicity.op9_toxicity,
         "op10_simhash": simhash.op10_simhash,
     }
 

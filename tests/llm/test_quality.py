@@ -45,13 +45,15 @@ def test_against_brute_force_and_sql(spark, tmp_path):
 
 GOOD = "The boat was in the shed on the hill that day. It was not to be used by any of the men who came."
 
+MORE = "Some came from the town and others by train; all were late, and none had an umbrella."
+
 
 def test_lines_and_verdict(spark):
     nav = "Home | News | Sport | Contact | About | Help | Shop"
     cases = {
         "keep": (GOOD, True, GOOD),
-        "furniture": (f"{GOOD}\nPlease accept all cookies now.\n{GOOD} And more.", True, f"{GOOD}\n{GOOD} And more."),
-        "menu": (f"{GOOD}\n{nav}\n{GOOD}, he said.", True, f"{GOOD}\n{GOOD}, he said."),
+        "furniture": (f"{GOOD}\nPlease accept all cookies now.\n{MORE}", True, f"{GOOD}\n{MORE}"),
+        "menu": (f"{GOOD}\n{nav}\n{MORE}", True, f"{GOOD}\n{MORE}"),
         "mostly menu": (f"One two three four five six.\n{nav}\n{nav} x\n{nav} y", False, "One two three four five six."),
         "shout": ("BUY!! NOW!! AND!! HERE!! THE!! BEST!! OF!! ALL!! THE!! MANY!! THINGS!!", False, ""),
         "symbols": (" ".join(f"word{k}***" for k in range(30)), False, ""),
