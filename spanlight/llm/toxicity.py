@@ -27,7 +27,7 @@ from .bpe import texts_of
 from .common import id_crc32, map_batches, table, utf8
 
 #: The bounds of the sample that the driver learns from: labelled documents of each kind, by the hash of their ids.
-TOXIC_SAMPLE, CLEAN_SAMPLE = 1500, 3000
+TOXIC_SAMPLE, CLEAN_SAMPLE = 1000, 2000
 #: Of the toxic sample documents, how many share a toxic word's beginning; and how many clean ones to one toxic.
 SHARE, CLEAN_RATIO = 0.015, 0.05
 THRESHOLD = 0.7
@@ -156,13 +156,13 @@ def label_tokens(toxic: list[str], clean: list[str]) -> set[str]:
     return {f for f, n in bad.items() if n >= least and good[f] * scale <= CLEAN_RATIO * n and len(f) > 4}
 
 
-def train(toxic: list[str], clean: list[str], steps: int = 120, rate: float = 0.3, decay: float = 1e-4) -> Field:
+def train(toxic: list[str], clean: list[str], steps: int = 60, rate: float = 0.4, decay: float = 1e-4) -> Field:
     """The field of a sample of texts. Without toxic texts, nothing is toxic."""
     marks = label_tokens(toxic, clean)
     if not marks:
         return Field()
     lines: list[tuple[list[str], bool]] = [(x.split(), True) for t in toxic for x in t.lower().split("\n")]
-    lines += [(x.split(), False) for t in clean for x in t.lower().split("\n")[:8]]
+    lines += [(x.split(), False) for t in clean for x in t.lower().split("\n")[:3]]
     index: dict[str, int] = {}
     gold, rows, lengths, seen = [], [], [], []
     for tokens, is_toxic in lines:
