@@ -83,13 +83,15 @@ class Predictor:
 
     def predict(self, texts: list[bytes]) -> list[tuple[str, float]]:
         """(language, its probability) of each text; texts without a letter are unknown, with 0."""
+        if not self.net.languages:
+            return [(UNKNOWN, 0.0)] * len(texts)
         cut = [windows(t) for t in texts]
         p = self.probabilities(np.concatenate(cut)) if cut else np.zeros((0, 1))
         out, at = [], 0
         for text, rows in zip(texts, cut):
             own = p[at : at + len(rows)]
             at += len(rows)
-            if not self.net.languages or not _LETTER.search(text.decode(errors="replace")):
+            if not _LETTER.search(text.decode(errors="replace")):
                 out.append((UNKNOWN, 0.0))
                 continue
             weight = np.full(len(rows), float(rows.shape[1]))

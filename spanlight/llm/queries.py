@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, language, mainpage, mpeg, quality, simhash, tokenfiles, toxicity
+from . import bpe, chat, language, mainpage, mixing, mpeg, quality, simhash, tokenfiles, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
         "op1_quality": quality.op1_quality,
         "op2_bpe": bpe.op2_bpe,
         "op3_html": mainpage.op3_html,
+        "op4_mixing": mixing.op4_mixing,
         "op5_language": language.op5_language,
         "op6_arrow_sequences": tokenfiles.op6_arrow_sequences,
         "op7_mpeg": mpeg.op7_mpeg,
