@@ -87,7 +87,8 @@ def longest_common_run(pairs: DataFrame, a: str, b: str) -> DataFrame:
     def bisect(s, _):
         mid = ((s["low"] + s["high"] + 1) / 2).cast("int")
         fits = (mid > 0) & F.arrays_overlap(grams("__a", mid), grams("__b", mid))
-        return F.struct(F.when(fits, mid).otherwise(s["low"]).alias("low"), F.when(fits, s["high"]).otherwise(F.greatest(s["low"], mid - 1)).alias("high"))
+        next_low, next_high = F.when(fits, mid).otherwise(s["low"]), F.when(fits, s["high"]).otherwise(mid - 1)
+        return F.when(s["low"] >= s["high"], s).otherwise(F.struct(next_low.alias("low"), next_high.alias("high")))
 
     run = F.aggregate(F.sequence(F.lit(1), F.lit(20)), start, bisect, lambda s: s["low"])
     return rows.withColumn("run", run).drop("__a", "__b")
