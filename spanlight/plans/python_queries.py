@@ -32,10 +32,14 @@ def json_objects_scan(spark, d):
     return fuzzy.scan_json(table(spark, d, "events"), "event_id", "props")
 
 
-@query()
+@query("""WITH l AS (SELECT conv_id, turn, role, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS claim FROM conversations)
+SELECT conv_id, role AS section, (row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1)::INTEGER AS position, md5(claim) AS claim_md5 FROM l""")
 def profile_claims(spark, d):
-    """The documents read as Markdown profiles."""
-    return fuzzy.profile_claims(table(spark, d, "documents"), "doc_id", "text")
+    """Claims of Markdown profiles that are put together from the conversations: a section a turn, a wrapped bullet in it."""
+    line = F.concat(F.lit("# "), "role", F.lit("\n- "), F.regexp_replace("text", r"\n", "\n  "))
+    c = table(spark, d, "conversations").withColumn("line", line)
+    whole = c.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]), "\n").alias("profile"))
+    return fuzzy.profile_claims(whole, "conv_id", "profile").select("conv_id", "section", "position", F.md5("claim").alias("claim_md5"))
 
 
 @query()
