@@ -87,13 +87,36 @@ def is_sentence(text: Column, least: int = 4) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(sentence_parts(text), lambda x: is_sentence(x))
+    return F.transform(F.filter(sentence_parts(text), lambda x: is_sentence(x)), lambda x: normalize_whitespace(x))
 
 
-def quoted_spans(text: Column, least: int = 10) -> Column:
-    """Straight and curly quotations of `least` characters or more, in order."""
-    found = F.regexp_extract_all(text, F.lit("[\"“]([^\"“”]+)[\"”]"), F.lit(1))
-    return F.filter(found, lambda x: F.length(x) >= least)
+# What counts as a quotation, double and single.
+DOUBLE_QUOTES = "“([^”]{10,})”|\"([^\"]{10,})\""
+SINGLE_QUOTES = r"(?U)(?<!\w)'([^']{10,})'(?!\w)"
+
+
+def quoted_spans(text: Column) -> Column:
+    """Quotations of ten characters or more, in text order, longer first at the same start, white space collapsed."""
+    hits = F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in (DOUBLE_QUOTES, SINGLE_QUOTES)))
+    placed = F.array_sort(F.transform(hits, lambda h: F.struct(F.call_function("locate", h, text).alias("at"), (-F.length(h)).alias("n"), h.alias("hit"))))
+    return F.transform(placed, lambda x: normalize_whitespace(F.substr(x["hit"], F.lit(2), F.length(x["hit"]) - 2)))
+
+
+def hit_spans(text: Column, pattern: Column) -> Column:
+    """array<struct<start,end>> of a pattern's hits, in code points; the pattern must not match nothing."""
+
+    def fold(hits: Column) -> Column:
+        before = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+
+        def step(a: Column, x: Column) -> Column:
+            at = a["at"] + F.length(x["b"])
+            end = at + F.length(x["h"])
+            return F.struct(end.alias("at"), F.array_append(a["spans"], F.struct(at.alias("start"), end.alias("end"))).alias("spans"))
+
+        return F.aggregate(F.arrays_zip(before.alias("b"), hits.alias("h")), start, step, lambda a: a["spans"])
+
+    return let(F.regexp_extract_all(text, pattern, F.lit(0)), fold)
 
 
 def mask_quotes(text: Column) -> Column:
@@ -101,14 +124,22 @@ def mask_quotes(text: Column) -> Column:
 
 
 def quote_prefix(text: Column, n: int) -> Column:
-    """The first n words, null if there are fewer."""
-    return let(words(text), lambda w: F.when(F.size(w) >= n, F.array_join(F.slice(w, 1, n), " ")))
+    """The first n words, or all if there are fewer."""
+    return F.array_join(F.slice(words(text), 1, n), " ")
+
+
+def quote_suffix(text: Column, n: int) -> Column:
+    """The last n words without trailing marks, null if there are fewer."""
+    return let(words(text), lambda w: F.when(F.size(w) >= n, F.regexp_replace(F.array_join(F.slice(w, -n, n), " "), r"(?U)\W+$", "")))
 
 
 def prefix_pattern(prefix: Column) -> Column:
-    """A pattern that finds a prefix at word bounds, whatever its case and white space."""
-    escaped = F.regexp_replace(normalize_whitespace(prefix), r"([\\^$.|?*+()\[\]{}])", r"\\$1")
-    return F.concat(F.lit(r"(?iU)(?<![\w])"), F.replace(escaped, F.lit(" "), F.lit(r"\s+")), F.lit(r"(?![\w])"))
+    """A pattern for a prefix whatever its case: word-bounded, but a capital first letter waives the left bound."""
+    escape = lambda c: F.regexp_replace(c, r"([\\^$.|?*+()\[\]{}])", r"\\$1")
+    first, rest = F.substring(prefix, 1, 1), F.substr(prefix, F.lit(2))
+    either = F.concat(F.lit(r"(?:(?<!\w)"), F.lower(first), F.lit("|"), F.upper(first), F.lit(")"))
+    head = F.when(F.lower(first) == F.upper(first), F.concat(F.lit(r"(?<!\w)"), escape(first))).otherwise(either)
+    return F.concat(F.lit("(?U)"), head, F.lit("(?iu:"), escape(rest), F.lit(r")(?!\w)"))
 
 
 def actor_slug(name: Column, default: str = "actor") -> Column:

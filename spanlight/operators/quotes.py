@@ -18,8 +18,8 @@ def prefixes(quotes: DataFrame, id_col: str, text_col: str, ladder: tuple[int, .
     """(id, words, prefix): the folded first words of each quotation, for each step that it is long enough for."""
     steps = F.array(*(F.struct(F.lit(n).alias("words"), F.lit(n).alias("n")) for n in ladder))
     rows = quotes.select(F.col(id_col).alias("id"), T.tokens(F.col(text_col)).alias("t"), F.explode(steps).alias("s"))
-    cut = rows.filter("size(t) >= s.n").select("id", F.col("s.words").alias("words"), F.expr("array_join(slice(t, 1, s.n), ' ')").alias("prefix"))
-    return cut.filter(F.length("prefix") >= MIN_PREFIX_CHARS)
+    cut = rows.filter("size(t) > 0").select("id", F.least("s.n", F.size("t")).alias("words"), F.expr("array_join(slice(t, 1, s.n), ' ')").alias("prefix"))
+    return cut.filter(F.length("prefix") >= MIN_PREFIX_CHARS).distinct()
 
 
 def occurrences(quotes: DataFrame, q_id: str, q_text: str, texts: DataFrame, t_id: str, t_text: str, ladder: tuple[int, ...] = LADDER) -> DataFrame:
@@ -32,8 +32,8 @@ def occurrences(quotes: DataFrame, q_id: str, q_text: str, texts: DataFrame, t_i
     first = want.select(F.substring_index("prefix", " ", 1).alias("w0")).distinct()
     toks = texts.select(F.col(t_id).alias("text_id"), T.tokens(F.col(t_text)).alias("t"))
     at = toks.select("text_id", "t", F.posexplode("t").alias("position", "w0")).join(first, "w0", "left_semi")
-    steps = F.array(*map(F.lit, ladder))
-    grams = at.select("text_id", "position", "t", F.explode(steps).alias("n")).filter("position + n <= size(t)")
+    steps = F.broadcast(want.select(F.col("words").alias("n")).distinct())  # at most as many as the longest step
+    grams = at.select("text_id", "position", "t").crossJoin(steps).filter("position + n <= size(t)")
     grams = grams.select("text_id", "position", F.col("n").alias("words"), F.expr("array_join(slice(t, position + 1, n), ' ')").alias("prefix"))
     return want.join(grams, ["words", "prefix"]).select("id", "words", "text_id", "position")
 
@@ -56,20 +56,55 @@ def best_occurrence(found: DataFrame, quotes: DataFrame, q_id: str, q_text: str,
     return scored.withColumn("k", F.row_number().over(rank)).filter("k = 1").select("id", "words", "text_id", "jaccard")
 
 
+def _first_of(words):
+    """The first span with the prefix's words and the number of spans, null without any."""
+
+    def of(s):
+        hit = F.struct(words.alias("words"), s[0]["start"].alias("start_char"), s[0]["end"].alias("end_char"), F.size(s).alias("n"))
+        return F.when(F.size(s) > 0, hit)
+
+    return of
+
+
 def match_in_speech(pairs: DataFrame, speech: str, quote: str, ladder: tuple[int, ...] = LADDER) -> DataFrame:
-    """pairs with match {words, start, end}: the first step of the ladder found in the row's own speech, by pattern.
+    """pairs with match {words, start_char, end_char, n}: the first step of the ladder found in the row's own speech.
 
-    Word-bounded, case and white space free. Offsets count code points; null if nothing is found.
+    Offsets count code points; n is the number of occurrences, the first one is taken; null if nothing is found.
+    """
+    text, q = F.col(speech), F.col(quote)
+    found = []
+    for n in ladder:
+        prefix = T.quote_prefix(q, n)
+        ok = F.length(prefix) >= MIN_PREFIX_CHARS
+        spans = F.when(ok, T.hit_spans(text, T.prefix_pattern(F.when(ok, prefix))))
+        words = F.least(F.lit(n), T.word_count(q))
+        one = T.let(spans, _first_of(words))
+        found.append(one)
+    return pairs.withColumn("match", F.coalesce(*found))
+
+
+def extend_match(pairs: DataFrame, speech: str, quote: str) -> DataFrame:
+    """pairs (with match) with end_char and rule: `suffix` where the quotation's last words follow within twice its length.
+
+    Else the end of as many sentence parts as the quotation has, from the part that the match begins in (`sentence_count`).
     """
-    out = F.lit(None).cast("struct<words:int,start_char:int,end_char:int>")
-    for n in reversed(ladder):
-        prefix = T.quote_prefix(F.col(quote), n)
-        pattern = T.prefix_pattern(prefix)
-        hit = F.regexp_substr(F.col(speech), pattern)
-        at = F.length(F.element_at(F.split(F.col(speech), pattern, 2), 1))
-        found = F.struct(F.lit(n).alias("words"), at.cast("int").alias("start_char"), (at + F.length(hit)).cast("int").alias("end_char"))
-        out = F.when(prefix.isNotNull() & (F.length(prefix) >= MIN_PREFIX_CHARS) & hit.isNotNull(), found).otherwise(out)
-    return pairs.withColumn("match", out)
+    text, q, m = F.col(speech), F.col(quote), F.col("match")
+    limit = m["start_char"] + MAX_SPAN_RATIO * F.length(q)
+    ends = []
+    for n in SUFFIXES:
+        suffix = T.quote_suffix(q, n)
+        ok = suffix.isNotNull() & (F.length(suffix) >= MIN_PREFIX_CHARS)
+        spans = F.when(ok, T.hit_spans(text, T.prefix_pattern(F.when(ok, suffix))))
+        fits = F.filter(spans, lambda s: (s["start"] >= m["start_char"]) & (s["end"] >= m["end_char"]) & (s["end"] <= limit))
+        ends.append(F.get(fits, F.lit(0))["end"])
+    by_suffix = F.coalesce(*ends)
+    bounds = T.hit_spans(text, F.lit(r"(?U)(?:(?<=[.!?])|(?<=[.!?]\))(?<!\(\.\.\.\)))\s+"))
+    wanted = F.size(F.filter(T.sentence_parts(q), lambda p: p.rlike(r"(?U)\w")))
+    behind = F.filter(bounds, lambda b: b["start"] >= m["end_char"])
+    by_count = F.coalesce(F.get(behind, F.greatest(wanted - 1, F.lit(0)))["start"], F.length(text))
+    return pairs.withColumn("end_char", F.when(m.isNotNull(), F.coalesce(by_suffix, by_count))).withColumn(
+        "rule", F.when(by_suffix.isNotNull() & m.isNotNull(), "suffix").when(m.isNotNull(), "sentence_count")
+    )
 
 
 def longest_common_run(pairs: DataFrame, a: str, b: str) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-#: A turn opens with an article, a name in capitals, perhaps a parenthesis, and a dash.
-TURN_HEADER = r"(?:O SR\.|A SRA\.)\s+(\p{Lu}[\p{Lu} .'-]{1,60}?)\s*(?:\(([^()]*)\))?\s+[-–]\s"
+# Fixed value: a turn opens with an article, a name in capitals, perhaps a parenthesis, and a dash.
+TURN_HEADER = r"(?U)(?:O\s+SR\.|A\s+SRA\.)\s*([A-ZÀ-Ü][A-ZÀ-Ü.\s]{0,60}?)\s*(?:\(([^)]*)\))?\s*-\s?"
 
 
 def turns(hearings: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -17,7 +17,7 @@ PARTS = (
     r"list_transform(list_filter(string_split(regexp_replace(regexp_replace({}, '\(\.\.\.\)\s+', '(...)' || chr(2), 'g'), "
     r"'([.!?]\)?)\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> ''), lambda x: replace(x, chr(2), ' '))"
 )
-SENTENCES = "list_filter(" + PARTS + ", lambda x: len(" + WORDS.format("x") + r") >= 4 AND NOT regexp_matches(trim(x), '^(\([^()]*\)\s*)+$'))"
+SENTENCES = "list_transform(list_filter(" + PARTS + ", lambda x: len(" + WORDS.format("x") + r") >= 4 AND NOT regexp_matches(trim(x), '^(\([^()]*\)\s*)+$')), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g')))"
 ROWS = f"SELECT doc_id, lang, source, unnest(range(0, len(s))) AS position, unnest(s) AS sentence FROM (SELECT doc_id, lang, source, {SENTENCES.format('text')} AS s FROM documents)"
 
 
@@ -81,7 +81,7 @@ def token_sets(spark, d):
 
 
 _PREFIX = f"""t AS (SELECT item_id AS id, {TOKENS.format('text')} AS t FROM benchmark),
-want AS (SELECT id, n AS words, array_to_string(t[1:n], ' ') AS prefix FROM t, (VALUES (10), (6), (4), (3)) v(n) WHERE len(t) >= n AND length(array_to_string(t[1:n], ' ')) >= 6),
+want AS (SELECT DISTINCT id, least(n, len(t))::INTEGER AS words, array_to_string(t[1:n], ' ') AS prefix FROM t, (VALUES (10), (6), (4), (3)) v(n) WHERE length(array_to_string(t[1:n], ' ')) >= 6),
 docs AS (SELECT doc_id, ' ' || array_to_string({TOKENS.format('text')}, ' ') || ' ' AS flat FROM documents),
 found AS (SELECT id, words, doc_id AS text_id FROM want JOIN docs ON contains(flat, ' ' || prefix || ' ')),
 best AS (SELECT * FROM (SELECT *, max(words) OVER (PARTITION BY id) AS m FROM found) WHERE words = m)"""
@@ -112,9 +112,9 @@ def quote_best_occurrence(spark, d):
     return quotes.best_occurrence(_found(spark, d), b, "item_id", "text", docs, "doc_id", "text")
 
 
-@query("SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '[\"“][^\"“”]+[\"”]', ' ', 'g'), '\\s+', ' ', 'g'))) AS masked_md5, len(list_filter(regexp_extract_all(text, '[\"“]([^\"“”]+)[\"”]', 1), lambda x: length(x) >= 10))::INTEGER AS n_quotes FROM documents")
+@query("SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '[\"“][^\"“”]+[\"”]', ' ', 'g'), '\\s+', ' ', 'g'))) AS masked_md5, (len(regexp_extract_all(text, '“([^”]{10,})”|\"([^\"]{10,})\"')))::INTEGER AS n_double FROM documents")
 def quote_masked_text(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(T.mask_quotes(F.col("text"))).alias("masked_md5"), F.size(T.quoted_spans(F.col("text"))).alias("n_quotes"))
+    return table(spark, d, "documents").select("doc_id", F.md5(T.mask_quotes(F.col("text"))).alias("masked_md5"), F.regexp_count("text", F.lit(T.DOUBLE_QUOTES)).alias("n_double"))
 
 
 @query(f"""WITH t AS (SELECT item_id AS id, {TOKENS.format('text')} AS t FROM benchmark), g AS (SELECT id, unnest(list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i+4], ' '))) AS g FROM t),

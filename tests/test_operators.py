@@ -39,7 +39,7 @@ def test_text_scalars(spark):
     assert one(spark, T.tokens(c), t="Não, É 2x_y!") == ["nao", "e", "2x_y"]
     assert one(spark, T.is_stage_direction(c), t="(Applause) (Laughter)") is True
     assert one(spark, T.sentences(c), t="Too short. This one has four words.") == ["This one has four words."]
-    assert one(spark, T.quoted_spans(c), t='He said "this is long enough" and "short" and “curly quotes here”.') == ["this is long enough", "curly quotes here"]
+    assert one(spark, T.quoted_spans(c), t='He said "this is long enough" and "short" and “curly  quotes \'or another in\' here”.') == ["this is long enough", "curly quotes 'or another in' here", "or another in"]
     assert one(spark, T.mask_quotes(c), t='a "quoted" b') == "a b"
     assert one(spark, T.actor_slug(c), t="Élan & Co.") == "elan-co" and one(spark, T.actor_slug(c), t="!!") == "actor"
     assert one(spark, T.clean_role(c), t="Deputy (PT-SP) of the house") == "Deputy of the house"
@@ -65,7 +65,7 @@ def test_scalar_statistics(spark):
 
 
 def test_turns_and_spans(spark):
-    t = "Opening.\nO SR. JOÃO SILVA (PT) - Bom dia. Tudo bem?\n\nA SRA. ANA – \U0001f600 Sim.\nO SR. X -  "
+    t = "Opening.\nO SR. JOÃO SILVA (PT) - Bom dia. Tudo bem?\n\nA SRA. ANA - \U0001f600 Sim.\nO SR. X -  "
     rows = segment.turns(spark.createDataFrame([(1, t), (2, None), (3, "no header")], "id long, t string"), "id", "t").orderBy("turn").collect()
     assert [(r.turn, r.raw_name, r.info) for r in rows][:2] == [(0, "JOÃO SILVA", "PT"), (1, "ANA", None)]
     assert all(t[r.start_char : r.end_char] == r.speech for r in rows)
@@ -84,8 +84,13 @@ def test_quote_match_in_speech(spark):
     pairs = spark.createDataFrame([("\U0001f600 And then\n the (big) dog ran home.", "the (big) DOG ran away"), ("nothing", "the big dog ran"), (None, "x")], "s string, q string")
     got = [r.match for r in quotes.match_in_speech(pairs, "s", "q").collect()]
     s = "\U0001f600 And then\n the (big) dog ran home."
-    assert got[0].words == 4 and s[got[0].start_char : got[0].end_char] == "the (big) dog ran"
+    assert got[0].words == 4 and s[got[0].start_char : got[0].end_char] == "the (big) dog ran" and got[0].n == 1
     assert got[1:] == [None, None]
+    rows = [("He said we will not go there today. And more. End.", "we will not go anywhere today. And"), ("xThe old house is on the hill by the sea, he said. No.", "The old house is on the hill by the sea")]
+    more = quotes.extend_match(quotes.match_in_speech(spark.createDataFrame(rows, "s string, q string"), "s", "q"), "s", "q").collect()
+    assert [(r.match.words, r.rule) for r in more] == [(4, "sentence_count"), (9, "suffix")] or [(r.match.words, r.rule) for r in more] == [(4, "sentence_count"), (10, "suffix")]
+    assert rows[0][0][more[0].match.start_char : more[0].end_char] == "we will not go there today. And more."
+    assert rows[1][0][more[1].match.start_char : more[1].end_char] == rows[1][1]
 
 
 def test_longest_common_run(spark):
