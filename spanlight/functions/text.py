@@ -159,7 +159,7 @@ def normalize_label(label: Column) -> Column:
 def trim_passage(text: Column, limit: int) -> Column:
     """At most limit characters, cut at a word if one ends past the half, closed by an ellipsis."""
     head = F.substring(text, 1, limit)
-    at_word = F.regexp_replace(head, r"\s+\S*$", "")
+    at_word = F.regexp_replace(head, r"\s+\S*\z", "")
     cut = F.when(2 * F.length(at_word) >= limit, at_word).otherwise(head)
     return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.regexp_replace(cut, r"[\s.,;:!?-]+$", ""), F.lit("…")))
 

@@ -211,3 +211,45 @@ def test_stream_feeds_a_store(spark, tmp_path):
     for _ in range(2):
         replay.feed_store(replay.read_json_stream(spark, str(tmp_path / "in"), "k string, v double"), store, str(tmp_path / "cp")).awaitTermination()
     assert store.read().count() == 2
+
+
+def test_article_dates_and_names(spark):
+    from spanlight.functions import speech
+
+    c = F.col("t")
+    a = "Atualizado em 02/03/2020 - 10:00 texto 01/03/2020 - 09:30; Nesta TERÇA-feira (3) e sexta-feira (31)."
+    assert str(one(spark, speech.published_at(c), t=a)) == "2020-03-01 09:30:00" and str(one(spark, speech.updated_at(c), t=a)) == "2020-03-02 10:00:00"
+    assert one(spark, speech.published_at(c), t="31/02/2020 - 10:00") is None and one(spark, speech.updated_at(c), t="none") is None
+    assert [tuple(m) for m in one(spark, speech.weekday_mentions(c), t=a)] == [("Nesta TERÇA-feira (3)", True, 1, 3), ("sexta-feira (31)", False, 4, 31)]
+    n, i = F.lit("PRESIDENTE"), F.col("t")
+    assert one(spark, speech.resolve_turn_name(n, i), t="Ana Silva. Bloco/PT - SP") == "Ana Silva" and one(spark, speech.turn_party(n, i), t="Ana Silva. Bloco/PT - SP") == "Bloco/PT - SP"
+    assert one(spark, speech.resolve_turn_name(n, i), t="Ana Silva") == "PRESIDENTE" and one(spark, speech.turn_party(n, i), t="Ana Silva") is None
+    assert one(spark, speech.parse_level(c, ["sim", "nao"]), t=" Não, porque") == "nao" and one(spark, speech.coverage_bucket(F.lit(7), [3, 6, 10])) == 6
+    assert [one(spark, speech.citation_problem(c, F.lit("A longa  frase do texto"), 3), t=x) for x in ("", "longa frase", "LONGA frase do", "outra frase aqui")] == ["missing", "too_short", None, "not_found"]
+
+
+def test_passages(spark):
+    from spanlight.operators import passages
+
+    turns = spark.createDataFrame([(1, 0, "A first (one).  Then more", 10), (1, 1, "A first (one).", 90), (2, 0, "other", 0)], "h long, turn long, text string, start long")
+    want = spark.createDataFrame([(1, "A first (one). Then"), (1, "A first (one)."), (2, "absent"), (3, "none")], "h long, s string")
+    got = {(r.h, r.s): (r.turn, r.start_char, r.end_char) for r in passages.locate_sentences(turns, want, "h", "turn", "text", "start", "s").collect()}
+    assert got == {(1, "A first (one). Then"): (0, 10, 30), (1, "A first (one)."): (0, 10, 24), (2, "absent"): (None, None, None), (3, "none"): (None, None, None)}
+    assert one(spark, passages.merged_parts(F.col("t"), ["Sr."]), t="Hello. The Sr. Silva spoke for long. Yes. It was very good. End") == ["Hello. The Sr. Silva spoke for long.", "Yes. It was very good. End"]
+    assert one(spark, passages.merged_parts(F.col("t"), []), t="") == []
+    assert one(spark, passages.concatenated_premise(F.array(F.lit("a"), F.lit(" "), F.lit(None)))) is None
+    spans = [(1, k, s, s + n) for k, (s, n) in enumerate([(0, 5), (4, 3000), (2047, 2), (5000, 0), (7000, 1)])]
+    df = spark.createDataFrame(spans, "h long, id long, start_char long, end_char long")
+    hit = {(r.a_id, r.b_id) for r in passages.overlapping(df, df, "h").collect()}
+    assert hit == {(a, b) for _, a, s, e in spans for _, b, t, f in spans if s < e and t < f and s < f and t < e}
+    assert passages.overlapping(df, df, "h").count() == len(hit)
+
+
+def test_comparison(spark):
+    from spanlight.operators import comparison
+
+    reps = spark.createDataFrame([(float(x),) for x in (-1, 1, 2, 3)], "mean double")
+    assert comparison.bootstrap_p(reps).first().p == 0.5
+    rows = spark.createDataFrame([(1, 0.9, 0.1), (2, None, 0.7), (3, None, None)], "k long, a double, b double")
+    got = {r.k: (r.votes, r.unanimous) for r in comparison.consensus(rows, ["a", "b"]).collect()}
+    assert got == {1: (0.5, False), 2: (1.0, True), 3: (None, None)}
