@@ -131,7 +131,8 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     bad = F.filter(b, lambda x: x["rule"].isNotNull())
     measured = judged.select(
         *docs.columns,
-        F.struct(
+        # Out of a generator: a filter on the verdict stays above it, so nothing here is computed twice.
+        F.explode(F.array(F.struct(
             n.alias("n_words"),
             F.length(F.array_join(a["words"], "")).cast("bigint").alias("word_chars"),
             _count(a["text"], SYMBOLS).alias("n_symbols"),
@@ -141,7 +142,7 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
             total(bad).alias("lost_chars"),
             F.transform(bad, lambda x: x["rule"]).alias("removed"),
             F.when(F.size(bad) == 0, F.col(text_col)).otherwise(F.array_join(F.transform(F.filter(b, lambda x: x["rule"].isNull()), lambda x: x["line"]), "\n")).alias("clean_text"),
-        ).alias("__m"),
+        ))).alias("__m"),
     )
     m = F.col("__m")
     failed = (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
