@@ -44,12 +44,32 @@ def library_codes(path: str) -> tuple[PieceCodes, int]:
     special = {t.content: k for k, t in library.get_added_tokens_decoder().items()}
     kind = np.uint16 if library.get_vocab_size() <= 1 << 16 else np.uint32
 
-    def new(pieces: list[str]) -> Iterator[bytes]:
-        for k in range(0, len(pieces), 4096):
-            for e in library.encode_batch_fast(pieces[k : k + 4096], add_special_tokens=False):
-                yield np.array(e.ids, kind).tobytes()
-
-    return PieceCodes(new, {s: np.array([k], kind).tobytes() for s, k in special.items()}), kind().itemsize
+    width = kind().itemsize
+    # Tokens that begin with a space: each piece of a space and a word has one, its first.
+    opens = np.zeros(library.get_vocab_size(), bool)
+    opens[[k for t, k in library.get_vocab().items() if t.startswith("Ġ")]] = True
+
+    def each(pieces: list[str]) -> list[bytes]:
+        return [np.array(e.ids, kind).tobytes() for e in library.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def joined(pieces: list[str]) -> list[bytes]:
+        """Pieces of a space and a word, as one text whose ids are cut before each token that begins with a space."""
+        ids = np.array(library.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, kind)
+        starts = np.flatnonzero(opens[ids])
+        if len(starts) != len(pieces) or starts[0]:
+            return each(pieces)
+        raw, at = ids.tobytes(), (starts * width).tolist()
+        return [raw[x:y] for x, y in zip(at, [*at[1:], len(raw)])]
+
+    def new(pieces: list[str]) -> list[bytes]:
+        simple = [p[0] == " " and p[1:].split() == [p[1:]] for p in pieces]
+        words = [p for p, ok in zip(pieces, simple) if ok]
+        others = [p for p, ok in zip(pieces, simple) if not ok]
+        done = iter([c for k in range(0, len(words), 1024) for c in joined(words[k : k + 1024])])
+        rest = iter([c for k in range(0, len(others), 1024) for c in each(others[k : k + 1024])])
+        return [next(done if ok else rest) for ok in simple]
+
+    return PieceCodes(new, {s: np.array([k], kind).tobytes() for s, k in special.items()}), width
 
 
 def _schema(width: int, length: int) -> pa.Schema:
