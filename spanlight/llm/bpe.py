@@ -115,6 +115,10 @@ class BytePairs:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         return self.codes.encode(texts)
 
+    def counts(self, texts: list[str]) -> list[int]:
+        """The number of each text's ids."""
+        return [n // 4 for n in self.codes.sizes(texts)]
+
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_bytes([text])[0], "<u4").tolist()
 

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import byte_pairs, texts_of, vocabulary_path
 from .common import cut, id_crc32, map_batches, schema_ddl, table, utf8
 
 BINS = 2048
@@ -83,15 +84,25 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id",
 
 
 def with_posteriors(docs: DataFrame, model: Classifier, text_col: str = "text") -> DataFrame:
-    """docs with __n bigint (words between white space) and __p array<double>; null texts are empty. No shuffle."""
+    """docs with __p array<double>; null texts are empty. No shuffle."""
     names = docs.columns
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column(len(names)).to_pylist()
-        columns = [pa.array([len(t.split()) for t in texts], pa.int64()), pa.array(model.posteriors(texts).tolist(), pa.list_(pa.float64()))]
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [*names, "__n", "__p"])
+        posteriors = pa.array(model.posteriors(batch.column(len(names)).to_pylist()).tolist(), pa.list_(pa.float64()))
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], posteriors], [*names, "__p"])
 
-    return map_batches(docs.select("*", utf8(text_col).alias("__t")), run, f"{schema_ddl(docs)}, __n bigint, __p array<double>")
+    return map_batches(docs.select("*", utf8(text_col).alias("__t")), run, f"{schema_ddl(docs)}, __p array<double>")
+
+
+def with_tokens(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
+    """docs with __n bigint, the number of the text's ids in a vocabulary (bpe.VOCABULARY unless path names one); null texts have none. No shuffle."""
+    names, path = docs.columns, path or vocabulary_path()
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        counts = byte_pairs(path).counts(texts_of(batch.column(len(names))))
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts, pa.int64())], [*names, "__n"])
+
+    return map_batches(docs.select("*", utf8(text_col).alias("__t")), run, f"{schema_ddl(docs)}, __n bigint")
 
 
 @dataclass
@@ -189,7 +200,7 @@ def copies(rate: Column, id_col: Column, seed: int = 7) -> Column:
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", lossless: bool = True) -> DataFrame:
     """The rows of docs, each as many times as its copies, all columns; with lossless (its default) at least once."""
     model = fit_classifier(docs, labelled, id_col, text_col, domain_col)
-    scored = cut(with_posteriors(docs.select(text_col), model, text_col).select("__n", "__p"))
+    scored = cut(with_posteriors(with_tokens(docs.select(text_col), text_col), model, text_col).select("__n", "__p"))
     plan = solve(scored, model.domains, weights, lossless)
     counted = with_rates(with_posteriors(docs, model, text_col), plan).withColumn("__c", copies(F.col("__r"), F.col(id_col))).filter("__c > 0")
     return counted.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("__c")))).select(docs.columns)
@@ -199,10 +210,10 @@ def fit_rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], i
     """(id, n_tokens, domain, posterior, rate, copies) of every row of docs, and the plan.
 
     domain is that of the largest posterior (null where no domain is known), posterior is in the plan's order.
-    A null text is empty: no tokens, the classifier's prior. Repeated rows count each.
+    n_tokens counts ids of bpe.VOCABULARY. A null text is empty: no tokens, the classifier's prior. Repeated rows count each.
     """
     model = fit_classifier(docs, labelled, id_col, text_col, domain_col)
-    scored = cut(with_posteriors(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), model).select("id", "__n", "__p"))
+    scored = cut(with_posteriors(with_tokens(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))), model).select("id", "__n", "__p"))
     plan = solve(scored, model.domains, weights, lossless)
     names = F.array(*map(F.lit, model.domains)).cast("array<string>")
     best = F.try_element_at(names, F.array_position("__p", F.array_max("__p")).cast("int")) if model.domains else F.lit(None).cast("string")

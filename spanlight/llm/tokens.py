@@ -44,8 +44,8 @@ class PieceCodes:
             out += [part] if part in self.special else pieces(part)
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as bytes."""
+    def _learn(self, texts: list[str]) -> tuple[list[list[str]], dict[str, bytes]]:
+        """The pieces of each text, and a memory that holds all of them."""
         cut = [self.cut(t) for t in texts]
         if len(self.known) > MEMORY:
             self.known = {}
@@ -56,4 +56,14 @@ class PieceCodes:
         new = list(new.difference(known))
         known.update(zip(new, self.encode_new(new)))
         self.known = known
+        return cut, known
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as bytes."""
+        cut, known = self._learn(texts)
         return [b"".join(map(known.__getitem__, p)) for p in cut]
+
+    def sizes(self, texts: list[str]) -> list[int]:
+        """The bytes that encode() gives each text, without joining them."""
+        cut, known = self._learn(texts)
+        return [sum(map(len, map(known.__getitem__, p))) for p in cut]

@@ -62,3 +62,16 @@ def test_query_and_odd_rows(spark):
     assert set(ids) == {0, 1, 2, 3, 4, None} and ids.count(1) > 1
     assert M.mix(docs.limit(0), docs, {"p": 1.0}).count() == 0
     assert sorted(str(r.doc_id) for r in M.mix(docs, docs.limit(0), {"p": 1.0}).collect()) == sorted(map(str, [0, 1, 2, 3, 4, None]))
+
+
+def test_tokens_are_ids_of_the_vocabulary(spark):
+    from tokenizers import Tokenizer
+
+    from spanlight.llm import bpe
+
+    texts = ["Unbelievably long-winded words", "x" * 900, "a  b\n\n c\t", "", None, "Straße 12'3, été"]
+    docs = spark.createDataFrame([(k, t, "p") for k, t in enumerate(texts)], "doc_id long, text string, domain string")
+    library = Tokenizer.from_file(bpe.vocabulary_path())
+    rates, _ = M.fit_rates(docs, docs, {"p": 1.0})
+    got = {r.id: r.n_tokens for r in rates.collect()}
+    assert got == {k: len(library.encode(t or "", add_special_tokens=False).ids) for k, t in enumerate(texts)}
