@@ -202,11 +202,23 @@ def read(data: bytes | None) -> Track:
     while (then := _id3v2(data, at, track.tags)) > at:
         at = then
     end = len(data)
-    if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
+    if end - at >= 128 and data[end - 128 : end - 125] == b"TAG" and not _straddled(data, at, end - 128):
         end -= 128
         for name, a, b in (("TIT2", 3, 33), ("TPE1", 33, 63), ("TALB", 63, 93), ("TYER", 93, 97)):
             if value := data[end + a : end + b].split(b"\0")[0].decode("latin-1").strip():
                 track.tags.setdefault(name, value)
+    _walk(data, at, end, track)
+    return track
+
+
+def _straddled(data: bytes, at: int, tag: int) -> bool:
+    """Whether the last frame begins before a place and ends with the stream, so that what is there is its content."""
+    return _walk(data, at, len(data), Track()) < tag
+
+
+def _walk(data: bytes, at: int, end: int, track: Track) -> int:
+    """Adds the frames between two places to track; returns where the frame begins that ends at the end, or the end."""
+    last = end
     view = np.frombuffer(data, np.uint8, count=end)
     offsets: list[np.ndarray] = []
     synced = False
@@ -221,6 +233,7 @@ def read(data: bytes | None) -> Track:
                     track.vbr = table
                     _check(view, np.array([at]), h, track)
                     at += n
+                    last = at - n if at == end else end
                     continue
             count = (end - at) // n
             heads = view[at : at + count * n].reshape(count, n)[:, :4]
@@ -231,6 +244,7 @@ def read(data: bytes | None) -> Track:
             track.kbps.add(h.kbps)
             _check(view, run, h, track)
             at += n * len(run)
+            last = at - n if at == end else end
         else:
             synced = False
             then = data.find(b"\xff", at + 1, end)
@@ -239,7 +253,7 @@ def read(data: bytes | None) -> Track:
             at = then
     if offsets:
         track.offsets = np.concatenate(offsets)
-    return track
+    return last
 
 
 def _alike(a: Header, b: Header) -> bool:

@@ -79,3 +79,19 @@ def test_round_trip_and_query(spark, tmp_path):
     none = mpeg.probe(spark.createDataFrame([(1, None), (2, bytearray(b"zz"))], "id long, media binary")).collect()
     assert [(r.n_frames, r.version, r.duration_s) for r in none] == [(0, None, 0.0)] * 2
     assert mpeg.store_media(docs.limit(0)).count() == 0
+
+
+def test_texts_that_look_like_a_closing_tag(spark, tmp_path):
+    look = ("a" * 64 + "TAG").ljust(192, "b")
+    texts = [("x" * 192 * blocks) + "".join(block) for blocks in (0, 1, 5) for block in ((look,), (look[:100],))] + [("q" * k + "TAG").ljust(192, "b") for k in range(56, 76)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = mpeg.op7_mpeg(spark, str(tmp_path)).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        full = mpeg.padded(texts[r.doc_id].encode())
+        assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-16:]))
+        assert f"frames {len(full) // 192};" in r.feature and "junk 0" in r.feature
+    media = mpeg.store(mpeg.padded(look.encode()))
+    closing = b"TAG" + b"Other".ljust(125, b"\0")
+    assert mpeg.read(media + closing).tags == {"TSSE": "ancillary", "TIT2": "Other"}
+    assert mpeg.payload(media, mpeg.read(media + closing)) == look.encode()
