@@ -3,7 +3,8 @@
 Labels are of documents; tokens get theirs from them: a token of a toxic document is toxic if the beginning
 of one of its words occurs in enough toxic sample documents and hardly in clean ones (near copies count
 once). The field's features are the word and its first three, four and five letters, so unseen words of a family
-are found too. It is trained in numpy by the likelihood's gradient over lines of the sample.
+are found too. It is trained in numpy by the likelihood's gradient over all lines of the clean sample
+and those lines of the toxic one that hold a toxic token.
 
 Forward-backward runs exactly over all tokens of a batch at once: a step is a 2x2 matrix, a document's first
 token resets it, and the chain is cut into blocks whose products are joined. A document's score is its largest
@@ -13,6 +14,7 @@ marginal; the tokens at or above one half are its spans.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from dataclasses import dataclass, field
 from math import log
@@ -33,6 +35,8 @@ SHARE, CLEAN_RATIO = 0.015, 0.05
 THRESHOLD = 0.7
 #: Tokens that a worker remembers.
 MEMORY = 600_000
+#: Tokens, about, whose marginals training holds at once; lines are never split.
+BLOCK = 100_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -162,31 +166,37 @@ def train(toxic: list[str], clean: list[str], steps: int = 60, rate: float = 0.4
     if not marks:
         return Field()
     lines: list[tuple[list[str], bool]] = [(x.split(), True) for t in toxic for x in t.lower().split("\n")]
-    lines += [(x.split(), False) for t in clean for x in t.lower().split("\n")[:3]]
+    lines += [(x.split(), False) for t in clean for x in t.lower().split("\n")]
     index: dict[str, int] = {}
-    gold, rows, lengths, seen = [], [], [], []
+    words: dict[str, int] = {}
+    gold, rows, lengths, seen = bytearray(), array("I"), [], []
     for tokens, is_toxic in lines:
         labels = [is_toxic and any(f in marks for w in _WORD.findall(x) for f in features(w)[2:]) for x in tokens]
         if not tokens or (is_toxic and not any(labels)):
             continue
         lengths.append(len(tokens))
-        gold += labels
-        rows += tokens
-    gold = np.array(gold, float)
+        gold += bytes(labels)
+        rows.extend(words.setdefault(x, len(words)) for x in tokens)
+    del lines
+    gold, names = np.frombuffer(gold, np.uint8).astype(float), list(words)
     for x, y in zip(rows, gold):
         if y:
-            for w in _WORD.findall(x):
+            for w in _WORD.findall(names[x]):
                 for f in features(w):
                     index.setdefault(f, len(index))
-    token_of, feature_of = [], []
+    held = [[at for f in {f for w in _WORD.findall(x) for f in features(w)} if (at := index.get(f)) is not None] for x in names]
+    token_of, feature_of = array("I"), array("I")
     for k, x in enumerate(rows):
-        for f in {f for w in _WORD.findall(x) for f in features(w)}:
-            if (at := index.get(f)) is not None:
-                token_of.append(k)
-                feature_of.append(at)
+        for at in held[x]:
+            token_of.append(k)
+            feature_of.append(at)
     seen = (np.array(token_of, int), np.array(feature_of, int))
     lengths = np.array(lengths)
-    first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    ends = np.cumsum(lengths)
+    first = np.concatenate([[0], ends[:-1]])
+    #: blocks of whole lines: (first line, line after the last, first token, token after the last)
+    at = [0, *np.flatnonzero(np.diff(ends // BLOCK)) + 1, len(ends)]
+    blocks = [(a, b, first[a], ends[b - 1]) for a, b in zip(at, at[1:])]
     size = len(index)
     theta = np.zeros(size + 6)  # weights, bias, pairs, start
     theta[size] = log((gold.sum() + 0.5) / (len(gold) - gold.sum() + 0.5))
@@ -197,9 +207,12 @@ def train(toxic: list[str], clean: list[str], steps: int = 60, rate: float = 0.4
     mean, square = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
         emission = np.bincount(seen[0], theta[seen[1]], len(gold)) + theta[size]
-        p, joint = marginals(emission, lengths, theta[size + 1 : size + 5].reshape(2, 2), theta[size + 5])
+        p, joint = np.empty(len(gold)), np.zeros((2, 2))
+        for a, b, i, j in blocks:
+            p[i:j], some = marginals(emission[i:j], lengths[a:b], theta[size + 1 : size + 5].reshape(2, 2), theta[size + 5])
+            joint += some.sum(0)
         off = gold - p
-        gradient = np.concatenate([np.bincount(seen[1], off[seen[0]], size), [off.sum()], (wanted - joint.sum(0)).ravel(), [off[first].sum()]])
+        gradient = np.concatenate([np.bincount(seen[1], off[seen[0]], size), [off.sum()], (wanted - joint).ravel(), [off[first].sum()]])
         gradient = gradient / len(lengths) - decay * theta * (np.arange(len(theta)) < size)
         mean = 0.9 * mean + 0.1 * gradient
         square = 0.99 * square + 0.01 * gradient**2

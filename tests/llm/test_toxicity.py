@@ -75,3 +75,18 @@ def test_query_on_held_out_documents(spark):
     right = sum(r.predicted == r.toxic for r in rows)
     assert right >= 0.95 * len(rows) and all(0 <= r.score <= 1 for r in rows)
     assert spark.read.parquet(f"{at}/labels.parquet").filter(F.col("toxic") == 1).count() > 0
+
+
+def test_every_line_of_clean_texts_counts(monkeypatch):
+    toxic = [f"you grubling fool {k} stop" for k in range(60)]
+    clean = [f"a{k} quiet\nb{k} day\nc{k} again\nthe fool {k} of the play speaks\ngrub{k} is a name" for k in range(60)]
+    seen = []
+    real = T.marginals
+    monkeypatch.setattr(T, "marginals", lambda e, n, *rest: (seen.append(int(n.sum())), real(e, n, *rest))[1])
+    whole = T.train(toxic, clean, steps=3)
+    words = sum(len(x.split()) for t in clean for x in t.split("\n")) + sum(len(t.split()) for t in toxic)
+    assert seen == [words] * 3
+    monkeypatch.setattr(T, "BLOCK", 50)
+    parts = T.train(toxic, clean, steps=3)
+    assert len(seen) > 6 and whole.weights.keys() == parts.weights.keys()
+    assert all(abs(whole.weights[f] - parts.weights[f]) < 1e-9 for f in whole.weights)
