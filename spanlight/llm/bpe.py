@@ -8,23 +8,20 @@ list and the new pairs on both sides are pushed. Decoding concatenates the vocab
 from __future__ import annotations
 
 import json
-from array import array
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, table, utf8
-from .tokens import PATTERN, PieceCodes
+from .tokens import Encoded, PieceCodes
 
 #: The vocabulary of the queries; a parameter of the operators.
 VOCABULARY = "byte_bpe_50k.json"
-#: Words that a worker remembers; at this number it starts anew.
-WORDS = 500_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -56,9 +53,7 @@ class BytePairs:
         self.strings = [b""] * (1 + max([*vocab.values(), *self.special.values()]))
         for token, k in [*vocab.items(), *self.special.items()]:
             self.strings[k] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
-        self.pattern = regex.compile(PATTERN)
-        self.words: dict[str, bytes] = {}
-        self.codes = PieceCodes(self._new_pieces, {s: np.array([k], "<u4").tobytes() for s, k in self.special.items()})
+        self.codes = PieceCodes(self._words, self.special, "<u4")
 
     def merge(self, data: bytes) -> list[int]:
         """The ids of one word of the pattern."""
@@ -95,36 +90,21 @@ class BytePairs:
                     heappush(queue, r << shift | h)
         return [s for s in symbol if s >= 0]
 
-    def _new_pieces(self, new: list[str]) -> list[bytes]:
-        words = self.words
-        if len(words) > WORDS:
-            words.clear()
-        out = []
-        for piece in new:
-            parts = []
-            for word in self.pattern.findall(piece):
-                if (code := words.get(word)) is None:
-                    code = array("I", self.merge(word.encode())).tobytes()
-                    if len(word) < 64:
-                        words[word] = code
-                parts.append(code)
-            out.append(b"".join(parts))
-        return out
-
-    def encode_bytes(self, texts: list[str]) -> list[bytes]:
+    def _words(self, words: list[str]) -> list[Encoded]:
+        ids = [self.merge(w.encode()) for w in words]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        return [(words, np.fromiter(chain.from_iterable(ids), "<u4", int(size.sum())), size)]
+
+    def encode_all(self, texts: pa.Array | list[str]) -> list[np.ndarray]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         return self.codes.encode(texts)
 
-    def counts(self, texts: list[str]) -> list[int]:
-        """The number of each text's ids."""
-        return [n // 4 for n in self.codes.sizes(texts)]
-
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.encode_bytes([text])[0], "<u4").tolist()
+        return self.encode_all([text])[0].tolist()
 
-    def decode_bytes(self, ids: bytes) -> bytes:
+    def decode_bytes(self, ids: np.ndarray) -> bytes:
         """The decoded text in UTF-8; byte sequences that are none become U+FFFD."""
-        joined = b"".join(map(self.strings.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        joined = b"".join(map(self.strings.__getitem__, ids.tolist()))
         try:
             joined.decode()
             return joined
@@ -132,7 +112,7 @@ class BytePairs:
             return joined.decode(errors="replace").encode()
 
     def decode(self, ids: list[int]) -> str:
-        return self.decode_bytes(np.array(ids, "<u4").tobytes()).decode()
+        return self.decode_bytes(np.array(ids, "<u4")).decode()
 
 
 @lru_cache(maxsize=2)
@@ -146,6 +126,14 @@ def texts_of(column: pa.Array) -> list[str]:
     return [b.decode(errors="replace") for b in column.to_pylist()]
 
 
+def text_column(column: pa.Array) -> pa.Array:
+    """UTF-8 bytes as an Arrow column of texts; what is no UTF-8 becomes U+FFFD."""
+    try:
+        return column.cast(pa.large_string())
+    except pa.ArrowInvalid:
+        return pa.array(texts_of(column), pa.large_string())
+
+
 def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "token_ids", path: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep columns of docs and ids_col array<int> of every row, in one pass without a shuffle.
 
@@ -155,9 +143,9 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "token_ids",
     kinds = [(c, docs.schema[c].dataType.simpleString()) for c in keep]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        codes = byte_pairs(path).encode_bytes(texts_of(batch.column(len(kinds))))
-        flat = np.frombuffer(b"".join(codes), "<i4")
-        ends = np.concatenate([[0], np.cumsum([len(c) // 4 for c in codes])]).astype("<i4")
+        codes = byte_pairs(path).encode_all(text_column(batch.column(len(kinds))))
+        flat = np.concatenate([np.zeros(0, "<u4"), *codes]).view("<i4")
+        ends = np.concatenate([[0], np.cumsum(list(map(len, codes)))]).astype("<i4")
         ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
         return pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], [*keep, ids_col])
 
@@ -187,10 +175,10 @@ def op2_bpe(spark, sf_dir: str) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         pairs = byte_pairs(path)
-        codes = pairs.encode_bytes(texts_of(batch.column(1)))
+        codes = pairs.encode_all(text_column(batch.column(1)))
         columns = [
             batch.column(0),
-            pa.array([len(c) // 4 for c in codes], pa.int64()),
+            pa.array(map(len, codes), pa.int64()),
             pa.array([sha256(c).hexdigest() for c in codes], pa.string()),
             pa.array([sha256(pairs.decode_bytes(c)).hexdigest() for c in codes], pa.string()),
         ]

@@ -48,8 +48,8 @@ class Template:
 
     def turns(self, roles: list[str], texts: list[str], opens: list[bool]) -> list[tuple[np.ndarray, np.ndarray]]:
         """(ids, loss mask) of each turn; opens: whether it is the first of its conversation."""
-        codes = self.pairs.encode_bytes([self.escape(t) for t in texts])
-        named = self.pairs.encode_bytes([self.escape(r) for r in roles])
+        codes = self.pairs.encode_all([self.escape(t) for t in texts])
+        named = self.pairs.encode_all([self.escape(r) for r in roles])
         out = []
         for role, text, name, first in zip(roles, codes, named, opens):
             before = [self.mark["<s>"]] if first else []
@@ -57,9 +57,9 @@ class Template:
                 start, stop = _OPEN[role]
                 before += [self.mark[start]] if start else []
             else:
-                before += [self.mark["<<ROLE>>"], *np.frombuffer(name, "<u4").tolist(), self.mark["<</ROLE>>"]]
+                before += [self.mark["<<ROLE>>"], *name.tolist(), self.mark["<</ROLE>>"]]
                 stop = "</s>"
-            body = np.frombuffer(text, "<u4")
+            body = text
             ids = np.concatenate([before, body, [self.mark[stop]]]).astype(np.int32)
             step = np.zeros(len(ids) + 1, np.int8)
             if role == "assistant":

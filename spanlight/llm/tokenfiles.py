@@ -22,19 +22,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import texts_of, vocabulary_path
+from .bpe import text_column, vocabulary_path
 from .common import cut, file_system, scratch, small_batches, table, utf8
-from .tokens import PieceCodes
+from .tokens import Encoded, PieceCodes
 
 #: Sequences of one Arrow batch.
 BATCH = 64
 LENGTH = 2048
 END_ID = 2
+#: Unknown pieces that the library encodes as one text.
+GROUP = 512
 
 
 @lru_cache(maxsize=2)
-def library_codes(path: str) -> tuple[PieceCodes, int]:
-    """The tokenizers library's ids of pieces as bytes (16 or 32 bits), and their width."""
+def library_codes(path: str) -> PieceCodes:
+    """The tokenizers library's ids of 16 or 32 bits."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -44,32 +46,41 @@ def library_codes(path: str) -> tuple[PieceCodes, int]:
     special = {t.content: k for k, t in library.get_added_tokens_decoder().items()}
     kind = np.uint16 if library.get_vocab_size() <= 1 << 16 else np.uint32
 
-    width = kind().itemsize
     # Tokens that begin with a space: each piece of a space and a word has one, its first.
     opens = np.zeros(library.get_vocab_size(), bool)
     opens[[k for t, k in library.get_vocab().items() if t.startswith("Ġ")]] = True
-
-    def each(pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, kind).tobytes() for e in library.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def joined(pieces: list[str]) -> list[bytes]:
-        """Pieces of a space and a word, as one text whose ids are cut before each token that begins with a space."""
-        ids = np.array(library.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, kind)
-        starts = np.flatnonzero(opens[ids])
-        if len(starts) != len(pieces) or starts[0]:
-            return each(pieces)
-        raw, at = ids.tobytes(), (starts * width).tolist()
-        return [raw[x:y] for x, y in zip(at, [*at[1:], len(raw)])]
-
-    def new(pieces: list[str]) -> list[bytes]:
-        simple = [p[0] == " " and p[1:].split() == [p[1:]] for p in pieces]
-        words = [p for p, ok in zip(pieces, simple) if ok]
-        others = [p for p, ok in zip(pieces, simple) if not ok]
-        done = iter([c for k in range(0, len(words), 1024) for c in joined(words[k : k + 1024])])
-        rest = iter([c for k in range(0, len(others), 1024) for c in each(others[k : k + 1024])])
-        return [next(done if ok else rest) for ok in simple]
-
-    return PieceCodes(new, {s: np.array([k], kind).tobytes() for s, k in special.items()}), width
+    line_end = library.token_to_id("Ċ")
+
+    def ids_of(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, kind) for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def spaced(words: list[str]) -> Encoded | None:
+        """Words that follow a space, as one text whose ids are cut before each token that begins with a space."""
+        ids = ids_of(["".join(words)])[0]
+        at = np.flatnonzero(opens[ids])
+        return (words, ids, np.diff(at, append=len(ids))) if len(at) == len(words) and not at[0] else None
+
+    def lined(words: list[str]) -> Encoded | None:
+        """Other words, as the lines of one text whose ids are cut at line ends."""
+        ids = ids_of(["\n".join(words)])[0]
+        end = ids == line_end
+        at = np.flatnonzero(np.append(end, True))
+        return (words, ids[~end], np.diff(at, prepend=-1) - 1) if len(at) == len(words) else None
+
+    def encode(words: list[str]) -> Iterator[Encoded]:
+        kinds: dict = {spaced: [], lined: [], None: []}
+        for w in words:
+            bare = w.split()
+            kinds[None if len(bare) != 1 else lined if w == bare[0] else spaced if w == " " + bare[0] else None].append(w)
+        for way, all_words in kinds.items():
+            for k in range(0, len(all_words), GROUP):
+                some = all_words[k : k + GROUP]
+                if (found := way and way(some)) is None:
+                    each = ids_of(some)
+                    found = some, np.concatenate(each), np.array(list(map(len, each)))
+                yield found
+
+    return PieceCodes(encode, special, kind)
 
 
 def _schema(width: int, length: int) -> pa.Schema:
@@ -133,17 +144,16 @@ def write_shards(docs: DataFrame, uri: str, id_col: str = "doc_id", text_col: st
         from pyspark import TaskContext
 
         number, shard = TaskContext.get().partitionId(), None
-        codes, width = library_codes(path)
+        codes = library_codes(path)
+        width = codes.kind.itemsize
         for batch in batches:
             if not batch.num_rows:
                 continue
             shard = shard or _Shard(uri, number, width, length)
-            offsets, sizes = [], []
-            for code in codes.encode(texts_of(batch.column(1))):
-                ids = np.append(np.frombuffer(code, shard.kind), shard.kind(end_id))
-                offsets.append(shard.total)
-                sizes.append(len(ids))
-                shard.add(ids)
+            found, end = codes.encode(text_column(batch.column(1))), np.array([end_id], codes.kind)
+            sizes = np.fromiter((len(ids) + 1 for ids in found), np.int64, len(found))
+            offsets = shard.total + np.cumsum(sizes) - sizes
+            shard.add(np.concatenate([x for ids in found for x in (ids, end)]))
             columns = [batch.column(0), pa.array([number] * len(sizes), pa.int32()), pa.array(offsets, pa.int64()), pa.array(sizes, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["id", "shard", "offset", "n_tokens"])
         if shard:

@@ -1,9 +1,9 @@
 """Cutting texts into pieces whose tokens do not depend on their neighbours.
 
 The byte-level pattern joins at most one space to what follows and never joins other words, so a text can
-be cut before every space that follows a word; each distinct piece is then tokenized once and kept.
-Where spaces meet other white space that cut is wrong, and a pattern cuts between words and runs of white
-space instead. Both cuts give the tokens of the whole text.
+be cut before every space that follows a word; Arrow does so for a whole batch and numbers its distinct pieces,
+and each of those is tokenized once and kept. Where spaces meet other white space that cut is wrong, and a pattern
+cuts between words and runs of white space instead. Both cuts give the tokens of the whole text.
 """
 
 from __future__ import annotations
@@ -11,14 +11,28 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import regex
+
 #: The pattern of byte-level vocabularies, and Unicode's white space, which it means by \s.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
 
+_WORDS = regex.compile(PATTERN)
 _PIECE = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 _UNUSUAL = re.compile(f"[{WHITE.replace(' ', '').replace(chr(10), '')}]")
-#: Entries of a worker's memory of pieces, some 200 bytes each; at this number it starts anew.
-MEMORY = 800_000
+#: The mark before which Arrow cuts; a text that holds it takes the other way.
+_MARK = "\0"
+#: What the quick cut does not hold for, as a pattern of Arrow's.
+_ODD = "  |\n |[" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITE if c not in " \n") + "\\x{0}]"
+#: Bytes of either half of a worker's memory, about; code points of the longest piece that it keeps; bytes of an
+#: entry besides its own; ids put together at once, about.
+MEMORY, LONGEST, _ENTRY, _AT_ONCE = 150_000_000, 64, 200, 1 << 20
+
+#: Words, their ids one after the other, and the number of ids of each.
+Encoded = tuple[list[str], np.ndarray, np.ndarray]
 
 
 def pieces(text: str) -> list[str]:
@@ -29,11 +43,58 @@ def pieces(text: str) -> list[str]:
     return [first, *[" " + p for p in rest]] if first else [" " + p for p in rest]
 
 
+def _runs(first: np.ndarray, size: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """flat's runs of given beginnings and sizes, one after the other."""
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    out = np.empty(total, flat.dtype)
+    cuts = np.searchsorted(ends, np.arange(_AT_ONCE, total, _AT_ONCE)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(size)]):
+        x, y = (int(ends[k - 1]) if k else 0 for k in (a, b))
+        at = np.repeat(first[a:b] - (ends[a:b] - size[a:b]), size[a:b])
+        at += np.arange(x, y)
+        out[x:y] = flat[at]
+    return out
+
+
+class _Known:
+    """Names and the ids of each, in arrays that grow."""
+
+    def __init__(self, kind: np.dtype):
+        self.at: dict[str, int] = {}
+        self.ids, self.first, self.size = np.empty(1 << 16, kind), np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        self.n = self.n_ids = self.held = 0
+
+    def add(self, names: list[str], ids: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The new numbers of names."""
+        n, n_ids = self.n + len(names), self.n_ids + len(ids)
+        if n_ids > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.n_ids], np.empty(n_ids, self.ids.dtype)])
+        if n > len(self.first):
+            self.first, self.size = (np.concatenate([x[: self.n], np.empty(n, np.int64)]) for x in (self.first, self.size))
+        self.ids[self.n_ids : n_ids] = ids
+        self.size[self.n : n] = size
+        self.first[self.n : n] = self.n_ids + np.cumsum(size) - size
+        numbers = range(self.n, n)
+        self.at.update(zip(names, numbers))
+        self.held += _ENTRY * len(names) + len("".join(names)) + ids.nbytes
+        self.n, self.n_ids = n, n_ids
+        return np.arange(numbers.start, n)
+
+    def runs(self, numbers: np.ndarray) -> np.ndarray:
+        return _runs(self.first[numbers], self.size[numbers], self.ids)
+
+
 class PieceCodes:
-    """piece -> its ids as bytes, by way of encode_new(list of unknown pieces) -> list of bytes."""
+    """Ids of texts, by way of encode_words(unknown words of the pattern), which may put them in another order.
+
+    What is known, pieces and words, lies in two halves, bounded in bytes: a full new half becomes the old one, and
+    what is met again moves to the new half, so frequent pieces stay and rare ones go.
+    """
 
-    def __init__(self, encode_new: Callable[[list[str]], Iterable[bytes]], special: dict[str, bytes]):
-        self.encode_new, self.special, self.known = encode_new, special, {}
+    def __init__(self, encode_words: Callable[[list[str]], Iterable[Encoded]], special: dict[str, int], kind=np.uint32):
+        self.encode_words, self.special, self.kind = encode_words, special, np.dtype(kind)
+        self.new, self.old = _Known(self.kind), _Known(self.kind)
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
 
     def cut(self, text: str) -> list[str]:
@@ -44,26 +105,85 @@ class PieceCodes:
             out += [part] if part in self.special else pieces(part)
         return out
 
-    def _learn(self, texts: list[str]) -> tuple[list[list[str]], dict[str, bytes]]:
-        """The pieces of each text, and a memory that holds all of them."""
-        cut = [self.cut(t) for t in texts]
-        if len(self.known) > MEMORY:
-            self.known = {}
-        known = self.known or dict(self.special)
-        new = set()
-        for p in cut:
-            new.update(p)
-        new = list(new.difference(known))
-        known.update(zip(new, self.encode_new(new)))
-        self.known = known
-        return cut, known
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as bytes."""
-        cut, known = self._learn(texts)
-        return [b"".join(map(known.__getitem__, p)) for p in cut]
-
-    def sizes(self, texts: list[str]) -> list[int]:
-        """The bytes that encode() gives each text, without joining them."""
-        cut, known = self._learn(texts)
-        return [sum(map(len, map(known.__getitem__, p))) for p in cut]
+    def _words(self, names: list[str]) -> list[str]:
+        """What of names is not known, after what the old half knows has moved."""
+        lost = [x for x in names if x not in self.new.at]
+        if self.old.n and lost:
+            again = [x for x in lost if x in self.old.at]
+            numbers = np.array([self.old.at[x] for x in again], np.int64)
+            self.new.add(again, self.old.runs(numbers), self.old.size[numbers])
+            lost = [x for x in lost if x not in self.old.at]
+        return lost
+
+    def _learn(self, fresh: list[str]) -> None:
+        """Makes unknown pieces known."""
+        spaced, others = [], []
+        for p in fresh:
+            (spaced if p[:1] == " " and len(p) > 1 and not p[1].isspace() else others).append(p)
+        # Pieces of a space and a word, cut together: each begins at a space.
+        words = _WORDS.findall("".join(spaced))
+        starts = [k for k, w in enumerate(words) if w[0] == " "]
+        if len(starts) != len(spaced):
+            spaced, others, words, starts = [], fresh, [], []
+        chosen, ends = spaced + others, starts[1:] + [len(words)][: len(starts)]
+        for p in others:
+            words += [p] if p in self.special else _WORDS.findall(p)
+            ends.append(len(words))
+        unknown = self._words(list(dict.fromkeys(words)))
+        if own := [w for w in unknown if w in self.special]:
+            self.new.add(own, np.array([self.special[w] for w in own], self.kind), np.ones(len(own), np.int64))
+            unknown = [w for w in unknown if w not in self.special]
+        for names, ids, size in self.encode_words(unknown) if unknown else ():
+            self.new.add(names, ids, size)
+        ends = np.array(ends)
+        count = np.diff(ends, prepend=0)
+        several = np.flatnonzero(count != 1)
+        if len(several):
+            inner = _runs((ends - count)[several], count[several], np.array([self.new.at[w] for w in words], np.int64))
+            size = np.concatenate([[0], np.cumsum(self.new.size[inner])])
+            edge = np.concatenate([[0], np.cumsum(count[several])])
+            self.new.add([chosen[k] for k in several.tolist()], self.new.runs(inner), np.diff(size[edge]))
+
+    def numbers(self, distinct: list[str]) -> np.ndarray:
+        """The number of each piece in the new half."""
+        fresh = self._words(distinct)
+        if fresh:
+            self._learn(fresh)
+        return np.fromiter(map(self.new.at.__getitem__, distinct), np.int64, len(distinct))
+
+    def _bounded(self, distinct: list[str]) -> None:
+        for p in distinct:
+            if len(p) > LONGEST:
+                self.new.at.pop(p, None)
+        if self.new.held > MEMORY:
+            self.old, self.new = self.new, _Known(self.kind)
+
+    def _lined(self, values: pa.Array, ends: np.ndarray) -> list[np.ndarray]:
+        """The ids of texts whose pieces are values, text k's up to ends[k + 1]."""
+        numbered = values.dictionary_encode()
+        distinct = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        at = self.numbers(distinct)[numbered.indices.to_numpy()]
+        out = self.new.runs(at)
+        edges = np.concatenate([[0], np.cumsum(self.new.size[at])])[ends]
+        self._bounded(distinct)
+        return [out[a:b] for a, b in zip(edges.tolist(), edges[1:].tolist())]
+
+    def encode(self, texts: pa.Array | list[str]) -> list[np.ndarray]:
+        """The ids of each text; texts hold no null."""
+        texts = pa.array(texts, pa.large_string())
+        if not len(texts):
+            return []
+        odd = pc.match_substring_regex(texts, _ODD)
+        for s in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, s))
+        marked = pc.replace_substring(pc.if_else(odd, "", texts), " ", _MARK + " ")
+        cut = pc.split_pattern(marked, _MARK)
+        out = self._lined(cut.values, cut.offsets.to_numpy())
+        where = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        if len(where):
+            lists = [self.cut(texts[k].as_py()) for k in where.tolist()]
+            ends = np.concatenate([[0], np.cumsum(list(map(len, lists)))])
+            found = self._lined(pa.array([p for x in lists for p in x], pa.large_string()), ends)
+            for k, ids in zip(where.tolist(), found):
+                out[k] = ids
+        return out

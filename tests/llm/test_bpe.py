@@ -44,3 +44,17 @@ def test_operator_and_query(spark, tmp_path):
         assert r.ids_sha256 == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
     assert bpe.encode(docs.limit(0)).count() == 0
+
+
+def test_memory_is_bounded_in_bytes(monkeypatch):
+    """Halves that turn over within a text, and pieces too long to keep, change no id."""
+    path = bpe.vocabulary_path()
+    library, own = Tokenizer.from_file(path), bpe.BytePairs(path)
+    monkeypatch.setattr(tokens, "MEMORY", 2_000)
+    monkeypatch.setattr(tokens, "_AT_ONCE", 16)
+    batch = [t for t in texts(400) if len(t) < 60_000] + ["y" * 500 + " z" * 40]
+    for k in range(0, len(batch), 50):
+        some = batch[k : k + 50] * 2
+        for t, ids in zip(some, own.encode_all(some), strict=True):
+            assert ids.tolist() == library.encode(t, add_special_tokens=False).ids
+        assert own.codes.new.held < 2_000 and max(map(len, own.codes.new.at), default=0) <= tokens.LONGEST
