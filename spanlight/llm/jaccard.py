@@ -1,13 +1,10 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles, without a bound on what is compared.
+"""What links of Jaccard similarity need beside fingerprints: sets of word shingles, and keys at which every similar pair meets.
 
 Two sets of similarity 0.8 or more, the larger of n shingles, differ in at most 2n / 9 of them. Sizes are cut into
 intervals so that such a pair lies in one or in two neighbouring ones. Each interval deals shingles by hash to more
 parts than members of such a pair can differ in, so the pair has equal parts; a set's keys are the hashes of its
 parts that are not empty, for its own interval and the next one. A set with too few of those to be sure of an equal
 one puts out its empty parts also. So every pair meets at a key; the sets themselves then decide.
-
-Sets that meet at a key are first compared with the least of them, and only those not yet in its component with each
-other, so a group of many near copies costs rows in proportion to its size.
 """
 
 from __future__ import annotations
@@ -17,32 +14,43 @@ from bisect import bisect_left
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches, schema_ddl, utf8
-from .components import components
+from .common import map_batches, schema_ddl, utf8
 
 #: Words of a shingle, and the least similarity of a link, as a fraction.
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 4, 5
 SEED = 42
-#: Rows of one batch of keys, about; a text's own are never split.
-KEY_ROWS = 200_000
+#: Words whose hashes a worker remembers.
+WORDS = 300_000
 _LAST = [0]
 
 
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > WORDS:
+            self.clear()
+        out = self[word] = xxhash.xxh64_intdigest(word, SEED)
+        return out
+
+
+_hashes = _Hashes()
+
+
 def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     """The sorted hashes of the text's distinct shingles; all its words are one if they are fewer. No words: none."""
     words = text.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    line = b" ".join(words)
-    size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    end = np.cumsum(size + 1) - 1
+    each = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
     k = min(shingle, len(words))
-    start = (end - size)[: len(words) - k + 1].tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(line[a:b], SEED) for a, b in zip(start, end[k - 1 :].tolist())), dtype=np.uint64, count=len(start)))
+    n = len(words) - k + 1
+    total = each[:n].copy()
+    for i in range(1, k):
+        total *= np.uint64(0x9E3779B97F4A7C15)
+        total += each[i : i + n]
+    return np.unique(_mix(total))
 
 
 def digest(members: np.ndarray) -> int:
@@ -103,37 +111,7 @@ def named(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return map_batches(docs.select("*", utf8(text_col).alias("__t")), run, f"{schema_ddl(docs)}, __set bigint")
 
 
-def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
-    """(key, node): every key of every row's set."""
-
-    def run(batch: pa.RecordBatch):
-        left: list[np.ndarray] = []
-        nodes: list[np.ndarray] = []
-        seen, rows = set(), 0
-
-        def out() -> pa.RecordBatch:
-            k, n = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (left, nodes))
-            return pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["key", "node"])
-
-        for text in batch.column(0).to_pylist():
-            members = shingles(text)
-            name = digest(members)
-            if name in seen:
-                continue
-            seen.add(name)
-            some = keys(members)
-            left.append(some)
-            nodes.append(np.full(len(some), name, np.int64))
-            rows += len(some)
-            if rows > KEY_ROWS:
-                yield out()
-                left, nodes, rows = [], [], 0
-        yield out()
-
-    return map_batches(docs.select(utf8(text_col).alias("text")), run, "key bigint, node bigint")
-
-
-def _sets(docs: DataFrame, text_col: str) -> DataFrame:
+def sets(docs: DataFrame, text_col: str) -> DataFrame:
     """(node, members binary) of every row."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -143,7 +121,7 @@ def _sets(docs: DataFrame, text_col: str) -> DataFrame:
     return map_batches(docs.select(utf8(text_col).alias("text")), run, "node bigint, members binary")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """The pairs (u, v) whose sets are alike."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -151,44 +129,6 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         good = pa.array([alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b)], pa.bool_())
         return pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], ["u", "v"])
 
-    for end, members in (("u", "a"), ("v", "b")):
-        pairs = pairs.join(sets.select(F.col("node").alias(end), F.col("members").alias(members)), end)
+    for end, name in (("u", "a"), ("v", "b")):
+        pairs = pairs.join(members.select(F.col("node").alias(end), F.col("members").alias(name)), end)
     return map_batches(pairs.select("u", "v", "a", "b"), run, "u bigint, v bigint")
-
-
-def _roots(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, root) of sets that a link joins to a lesser one, rows being (id, node) of docs."""
-    least = Window.partitionBy("key").orderBy("node")
-    met = cut(_keyed(docs, text_col).withColumn("least", F.first("node").over(least)).filter("node > least").distinct())
-    nodes = cut(met.select(F.explode(F.array("node", "least")).alias("node")).distinct())
-    ids = rows.filter("id is not null").join(nodes, "node").groupBy("node").agg(F.min("id").alias(id_col)).select(id_col).distinct()
-    texts = docs.select(id_col, text_col)
-    source = texts.join(ids, id_col, "left_semi").union(texts.filter(F.col(id_col).isNull()))
-    sets = cut(_sets(source, text_col).join(nodes, "node", "left_semi").dropDuplicates(["node"]))
-    links = cut(_verified(met.select(F.col("least").alias("u"), F.col("node").alias("v")).distinct(), sets))
-    roots = cut(components(links, "u", "v"))
-    held = met.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    a, b = (held.select(*(F.col(c).alias(f"{c}_{s}") for c in held.columns)) for s in "ab")
-    rest = a.join(b, (F.col("key_a") == F.col("key_b")) & (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")))
-    more = _verified(rest.select(F.col("node_a").alias("u"), F.col("node_b").alias("v")).distinct(), sets)
-    return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more), "u", "v")
-
-
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of docs for each group that links of similarity join, all columns: that of the smallest id.
-
-    Texts of equal sets are one, those without words too. A null id is the largest; rows that share an id, or have
-    none, are told apart by their sets.
-    """
-    rows = cut(named(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).select("id", F.col("__set").alias("node")))
-    grouped = rows.join(_roots(docs, rows, id_col, text_col), "node", "left").select("id", "node", F.coalesce("root", "node").alias("root"))
-    best = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("best"))
-    several = rows.groupBy("id").agg((F.count("*") > 1).alias("several"))
-    kept = cut(best.select("best.id", F.col("best.node").alias("node")).join(several, "id", "left"))
-    once, more = kept.filter("id is not null and not several").select(F.col("id").alias(id_col)), kept.filter("id is null or several").select("id", "node")
-    out = docs.join(once, id_col, "left_semi").select(docs.columns)
-    if more.isEmpty():
-        return out
-    odd = docs.withColumn("__id", F.col(id_col)).join(more.select(F.col("id").alias("__k")).distinct(), F.col("__id").eqNullSafe(F.col("__k")), "left_semi")
-    odd = named(odd, text_col).join(more.select(F.col("id").alias("__k"), "node"), F.col("__id").eqNullSafe(F.col("__k")) & (F.col("__set") == F.col("node")), "left_semi")
-    return out.union(odd.dropDuplicates(["__id", "__set"]).select(docs.columns))

@@ -8,6 +8,10 @@ and the full Hamming distance, and keeps a pair at its first key only, so a buck
 puts out its links and not its pairs.
 
 Only distinct fingerprints take part, so copies cost nothing; hot buckets are split by the adaptive join.
+
+deduplicate() links by similarity: fingerprints of five-word shingles are linked as above, and each link is checked
+exactly. Most texts of similarity 0.8 differ in more bits than fingerprints can be searched for (each bit differs with
+a chance of 0.15, so ten of 64 do), so what the ring cannot reach is found by the exact keys of jaccard.py.
 """
 
 from __future__ import annotations
@@ -15,9 +19,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import jaccard
 from .common import cut, map_batches, utf8
 from .components import components
 
@@ -40,6 +45,11 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = SEED) -> int:
         start = (end - size)[: 1 - shingle].tolist()
         digest = xxhash.xxh64_intdigest
         hashes = np.fromiter((digest(line[a:b], seed) for a, b in zip(start, end[shingle - 1 :].tolist())), dtype=np.uint64, count=len(start))
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half the hashes have, as a signed 64-bit integer."""
     lanes = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
     counts = np.concatenate([np.bincount(lanes[:, k], minlength=256) @ _BITS for k in range(8)])
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
@@ -75,8 +85,8 @@ def _keys(fp: Column) -> Column:
     )
 
 
-def links(nodes: DataFrame, max_bits: int = 3) -> DataFrame:
-    """(u, v) of nodes (node, fp; distinct fps) whose fingerprints differ in at most max_bits (0 to 3) bits, each pair once."""
+def _ring(nodes: DataFrame, max_bits: int) -> tuple[DataFrame, DataFrame, Column, Column, Column]:
+    """Both sides of the join, and its conditions: a common key; the chain, at the first key where it holds; the Hamming distance."""
     if not 0 <= max_bits < SEGMENTS:
         raise ValueError(f"max_bits must be 0 to {SEGMENTS - 1}")
     keyed = nodes.select("node", "fp", F.explode(_keys(F.col("fp"))).alias("key"))
@@ -96,8 +106,22 @@ def links(nodes: DataFrame, max_bits: int = 3) -> DataFrame:
         for h in range(2):
             hit = (_half(_segment(x, i + 1), h) == 0) & chain(i)
             first = F.when(hit, 2 * i + h) if first is None else first.when(hit, 2 * i + h)
-    on = (F.col("key_a") == F.col("key_b")) & (F.col("fp_a") < F.col("fp_b")) & (F.bit_count(x) <= max_bits) & (first == F.shiftright("key_a", 24))
-    return a.join(b, on).select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))
+    met = (F.col("key_a") == F.col("key_b")) & (F.col("fp_a") < F.col("fp_b"))
+    owned = first == F.shiftright("key_a", 24)
+    return a, b, met, owned, F.bit_count(x) <= max_bits
+
+
+def links(nodes: DataFrame, max_bits: int = 3) -> DataFrame:
+    """(u, v) of nodes (node, fp; distinct fps) whose fingerprints differ in at most max_bits (0 to 3) bits, each pair once."""
+    a, b, met, owned, near = _ring(nodes, max_bits)
+    return a.join(b, met & owned & near).select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))
+
+
+def candidates(nodes: DataFrame, max_bits: int = 3) -> dict[str, int]:
+    """How many pairs meet at a key, how many of them the chain leaves at the key that owns them, and how many are links."""
+    a, b, met, owned, near = _ring(nodes, max_bits)
+    row = a.join(b, met).agg(F.count("*").alias("met"), F.count_if(owned).alias("chain"), F.count_if(owned & near).alias("links")).first()
+    return row.asDict()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3) -> DataFrame:
@@ -113,18 +137,72 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(classes, "fp", "left").select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3) -> DataFrame:
-    """The row of docs with the smallest id of each component, all columns. Rows with a null id go.
+def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, node, fp, keys) of every row: the name of its set, its fingerprint, and the set's keys at its first row in a batch."""
 
-    Where rows share an id, one of them stays.
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        names, fps, keys, seen = [], [], [], set()
+        for text in batch.column(1).to_pylist():
+            members = jaccard.shingles(text)
+            name = jaccard.digest(members)
+            names.append(name)
+            fps.append(majority(members) if len(members) else 0)
+            keys.append(jaccard.keys(members) if name not in seen else np.zeros(0, np.int64))
+            seen.add(name)
+        ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.int64()), pa.array(fps, pa.int64()), lists], ["id", "node", "fp", "keys"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return map_batches(docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text")), run, f"id {kind}, node bigint, fp bigint, keys array<bigint>")
+
+
+def _roots(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, max_bits: int) -> DataFrame:
+    """(node, root) of sets that a link joins to a lesser one, rows being _read() of docs.
+
+    The ring's links come first. Sets that meet at an exact key are then compared with the least of them, and only those
+    that are not yet in one component with each other, so a group of many near copies costs rows in proportion to its size.
+    """
+    least = Window.partitionBy("key").orderBy("node")
+    keyed = rows.select(F.explode("keys").alias("key"), "node")
+    met = cut(keyed.withColumn("least", F.first("node").over(least)).filter("node > least").distinct())
+    prints = rows.filter("node is not null").groupBy("fp").agg(F.min("node").alias("node"))
+    same = rows.select("fp", "node").distinct().join(prints.withColumnRenamed("node", "least"), "fp").filter("node > least")
+    near = cut(links(prints, max_bits).union(same.select(F.col("least").alias("u"), F.col("node").alias("v"))))
+    first = met.select(F.col("least").alias("u"), F.col("node").alias("v"))
+    nodes = cut(first.union(near).select(F.explode(F.array("u", "v")).alias("node")).distinct())
+    ids = rows.filter("id is not null").join(nodes, "node").groupBy("node").agg(F.min("id").alias(id_col)).select(id_col).distinct()
+    texts = docs.select(id_col, text_col)
+    source = texts.join(ids, id_col, "left_semi").union(texts.filter(F.col(id_col).isNull()))
+    members = cut(jaccard.sets(source, text_col).join(nodes, "node", "left_semi").dropDuplicates(["node"]))
+    linked = jaccard.verified(first.union(near).distinct(), members)
+    roots = cut(components(cut(linked), "u", "v"))
+    held = met.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    a, b = (held.select(*(F.col(c).alias(f"{c}_{s}") for c in held.columns)) for s in "ab")
+    rest = a.join(b, (F.col("key_a") == F.col("key_b")) & (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")))
+    more = jaccard.verified(rest.select(F.col("node_a").alias("u"), F.col("node_b").alias("v")).distinct(), members)
+    return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more), "u", "v")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 3) -> DataFrame:
+    """One row of docs for each group that links of similarity join, all columns: that of the smallest id.
+
+    A link is a Jaccard similarity of jaccard.NUMERATOR / jaccard.DENOMINATOR or more over shingles of jaccard.SHINGLE
+    words; none is lost. Texts of equal sets are one, those without words too. A null id is the largest; rows that share
+    an id, or have none, are told apart by their sets.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle, max_bits).filter("id = component_id")
-    counted = cut(found.groupBy("id").agg(F.count("*").alias("n")))
-    once, more = (counted.filter(c).select(F.col("id").alias(id_col)) for c in ("n = 1", "n > 1"))
-    kept = docs.join(once, id_col, "left_semi")
+    rows = cut(_read(docs, id_col, text_col))
+    grouped = rows.select("id", "node").join(_roots(docs, rows, id_col, text_col, max_bits), "node", "left").select("id", "node", F.coalesce("root", "node").alias("root"))
+    best = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("best"))
+    several = rows.groupBy("id").agg((F.count("*") > 1).alias("several"))
+    kept = cut(best.select("best.id", F.col("best.node").alias("node")).join(several, "id", "left"))
+    once, more = kept.filter("id is not null and not several").select(F.col("id").alias(id_col)), kept.filter("id is null or several").select("id", "node")
+    out = docs.join(once, id_col, "left_semi").select(docs.columns)
     if more.isEmpty():
-        return kept.select(docs.columns)
-    return kept.union(docs.join(more, id_col, "left_semi").dropDuplicates([id_col])).select(docs.columns)
+        return out
+    odd = docs.withColumn("__id", F.col(id_col)).join(more.select(F.col("id").alias("__k")).distinct(), F.col("__id").eqNullSafe(F.col("__k")), "left_semi")
+    odd = jaccard.named(odd, text_col).join(more.select(F.col("id").alias("__k"), "node"), F.col("__id").eqNullSafe(F.col("__k")) & (F.col("__set") == F.col("node")), "left_semi")
+    return out.union(odd.dropDuplicates(["__id", "__set"]).select(docs.columns))
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from spanlight.llm import jaccard
+from spanlight.llm import jaccard, simhash
 from tests.llm.test_simhash import plain_components
 
 
@@ -37,7 +37,7 @@ def test_against_brute_force(spark):
     sets = [plain_set(t) for t in texts]
     linked = [(i, j) for j in range(len(sets)) for i in range(j) if similar(sets[i], sets[j])]
     root = plain_components(range(len(sets)), linked)
-    got = jaccard.deduplicate(docs)
+    got = simhash.deduplicate(docs)
     assert got.columns == docs.columns
     assert sorted(r.doc_id for r in got.collect()) == sorted(k for k in root if root[k] == k)
     assert len(linked) > 50

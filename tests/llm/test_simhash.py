@@ -80,6 +80,8 @@ def test_links_lose_nothing(spark, bits):
     got = [tuple(sorted((r.u, r.v))) for r in simhash.links(nodes, bits).collect()]
     want = {(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if (fps[i] ^ fps[j]).bit_count() <= bits}
     assert len(got) == len(set(got)) and set(got) == want
+    counts = simhash.candidates(nodes, bits)
+    assert counts["links"] == len(want) <= counts["chain"] < counts["met"]
 
 
 def test_components_of_long_paths_and_stars(spark):
