@@ -45,6 +45,11 @@ def features(word: str) -> tuple[str, ...]:
     return (f"w{word}", f"3{word[:3]}", f"4{word[:4]}", f"5{word[:5]}")
 
 
+def token_features(token: str) -> set[str]:
+    """The features of all words of a token, each once."""
+    return {f for w in _WORD.findall(token) for f in features(w)}
+
+
 @dataclass
 class Field:
     """weights: of features towards state 1, against which state 0 has 0; log potentials of pairs and of the start."""
@@ -55,11 +60,8 @@ class Field:
     start: float = 0.0
 
     def emission(self, token: str) -> float:
-        """The largest score of the token's words."""
-        best = 0.0
-        for word in _WORD.findall(token):
-            best = max(best, sum(self.weights.get(f, 0.0) for f in features(word)))
-        return best + self.bias
+        """The bias and the weights of the token's features, as training sums them."""
+        return self.bias + sum(self.weights.get(f, 0.0) for f in token_features(token))
 
 
 class _Emissions(dict):
@@ -157,11 +159,14 @@ def label_tokens(toxic: list[str], clean: list[str]) -> set[str]:
     bad, good = counted(toxic), counted(clean)
     least = max(3, SHARE * len(toxic))
     scale = len(toxic) / max(1, len(clean))
-    return {f for f, n in bad.items() if n >= least and good[f] * scale <= CLEAN_RATIO * n and len(f) > 4}
+    return {f for f, n in bad.items() if n >= least and good[f] * scale <= CLEAN_RATIO * n}
 
 
 def train(toxic: list[str], clean: list[str], steps: int = 60, rate: float = 0.4, decay: float = 1e-4) -> Field:
-    """The field of a sample of texts. Without toxic texts, nothing is toxic."""
+    """The field of a sample of texts. Without toxic texts, nothing is toxic.
+
+    Lines of toxic texts without a marked token tell nothing of where their text is toxic and are left out.
+    """
     marks = label_tokens(toxic, clean)
     if not marks:
         return Field()
@@ -184,7 +189,7 @@ def train(toxic: list[str], clean: list[str], steps: int = 60, rate: float = 0.4
             for w in _WORD.findall(names[x]):
                 for f in features(w):
                     index.setdefault(f, len(index))
-    held = [[at for f in {f for w in _WORD.findall(x) for f in features(w)} if (at := index.get(f)) is not None] for x in names]
+    held = [[at for f in token_features(x) if (at := index.get(f)) is not None] for x in names]
     token_of, feature_of = array("I"), array("I")
     for k, x in enumerate(rows):
         for at in held[x]:
@@ -252,14 +257,16 @@ def score_texts(texts: list[str], emissions: _Emissions) -> list[tuple[float, li
         spans = []
         if top >= 0.5:
             places = [m.span() for m in re.finditer(r"\S+", text)]
-            places = places if len(places) == n else []
-            spans = [{"start": places[k][0], "end": places[k][1], "p": float(own[k])} for k in np.flatnonzero(own >= 0.5) if places]
+            spans = [{"start": places[k][0], "end": places[k][1], "p": float(own[k])} for k in np.flatnonzero(own >= 0.5)]
         out.append((top, spans))
     return out
 
 
 def tag(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score, spans) of every row, in one pass without a shuffle. Null and empty texts score 0 and have no spans."""
+    """(id, score, spans) of every row, in one pass without a shuffle; a span has its characters' offsets and its marginal.
+
+    Null and empty texts score 0 and have no spans. Each row stands for itself: repeated rows give repeated results.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
     held: list[_Emissions] = []
@@ -280,7 +287,10 @@ def train_split(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def reject_toxic(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that score below threshold, all columns. The text passes once, beside its row."""
+    """The rows of docs that score below threshold, all columns, repeated ones too; null and empty texts stay.
+
+    The text passes once, beside its row.
+    """
     kept = [c for c in docs.columns]
     held: list[_Emissions] = []
 
@@ -297,9 +307,10 @@ def reject_toxic(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Scores of every document, and its toxic spans; the field learns from the labels of two documents in three."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, train_split(table(spark, sf_dir, "labels")))
     held = F.coalesce(id_crc32("id") % 3 == 1, F.lit(False))
     return tag(docs, model).select(
-        F.col("id").alias("doc_id"), held.alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"), F.size("spans").alias("n_spans")
+        F.col("id").alias("doc_id"), held.alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"), F.size("spans").alias("n_spans"), "spans"
     )

@@ -90,3 +90,19 @@ def test_every_line_of_clean_texts_counts(monkeypatch):
     parts = T.train(toxic, clean, steps=3)
     assert len(seen) > 6 and whole.weights.keys() == parts.weights.keys()
     assert all(abs(whole.weights[f] - parts.weights[f]) < 1e-9 for f in whole.weights)
+
+
+def test_emission_is_what_training_sums():
+    field = T.Field(weights={"wbad": 3.0, "3bad": -1.0, "wgood": -5.0, "3goo": 0.5}, bias=-1.0)
+    assert field.emission("bad") == 1.0
+    assert field.emission("good") == -5.5
+    assert field.emission("bad,good;bad") == -3.5
+    assert field.emission("...") == -1.0
+
+
+def test_short_words_can_be_marked():
+    toxic = [f"you zoq {k} stop" for k in range(60)]
+    clean = [f"a{k} quiet day\nthe fool {k} of the play" for k in range(60)]
+    field = T.train(toxic, clean)
+    scores = [s for s, _ in T.score_texts(["what a zoq is it", "a quiet day of the fool"], T._Emissions(field))]
+    assert scores[0] > 0.7 > 0.3 > scores[1]
