@@ -1,17 +1,21 @@
 """Main text of web pages by two passes of block rules.
 
-A page is cut into blocks at block-level tags. The first pass decides what it can: blocks in boilerplate
-containers (menus, headers, footers, sidebars, notices, adverts, forms, comments) are bad, as are those made of
-links; long blocks with many stop words are good, those with few are bad; where the page marks its article, blocks
-outside of it are bad and long ones inside are good. The second pass gives each block that is still open (short, or
-middling) the label of its nearest decided neighbours; if they differ, the article's mark or a middling
-density decides.
+A page is cut into blocks at block-level tags. The first pass decides what it can from a block's length, the share of
+stop words among its words, the share of its characters in links, and its containers: blocks in boilerplate
+containers (menus, headers, footers, sidebars, notices, adverts, forms, comments) and those made of links are bad;
+long ones with many stop words are good, in a marked article shorter ones with fewer too; other long ones are bad, but
+for paragraphs and what an article holds, which stay open, as do all short ones. Where a page marks its article,
+blocks outside of it are bad. The second pass gives each open block the label of its nearest decided neighbours; an
+article's ends count as good ones, and furniture set into it as none. Where both differ, the article, a paragraph's
+tag or a heading before good text decides.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -44,6 +48,7 @@ HINTS = frozenset(
     "masthead footer sidebar aside widget cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login "
     "comment comments disqus reply replies respond share sharing social related recommended recommendations pagination pager toolbar copyright disclaimer skip".split()
 )
+HOLDERS = frozenset("ul ol dl table tbody thead tfoot select div article section nav".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*+|[^>]*)>""", re.S)
@@ -92,32 +97,92 @@ def _hinted(tag: str, attributes: str) -> bool:
     return False
 
 
+class _Open:
+    """The open elements: (tag, in boilerplate, in the article), and what of them is asked at every tag or text."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, bool, bool]] = []
+        self.blocks: list[int] = []  # places of block-level tags
+        self.counts: Counter = Counter()
+        self.inline: list[Counter] = [Counter()]  # since each open block
+
+    def push(self, tag: str, bad: bool, article: bool) -> None:
+        self.counts[tag] += 1
+        if tag in BLOCKS:
+            self.blocks.append(len(self.stack))
+            self.inline.append(Counter())
+        else:
+            self.inline[-1][tag] += 1
+        self.stack.append((tag, bad, article))
+
+    def cut(self, k: int) -> None:
+        """Closes element k and all inside it."""
+        while len(self.stack) > k:
+            tag = self.stack.pop()[0]
+            self.counts[tag] -= 1
+            if tag in BLOCKS:
+                self.blocks.pop()
+                self.inline.pop()
+            else:
+                self.inline[-1][tag] -= 1
+
+    def last(self) -> tuple[str, bool, bool]:
+        return self.stack[-1] if self.stack else ("", False, False)
+
+    def block(self) -> tuple[str, bool, bool]:
+        """The innermost open block."""
+        return self.stack[self.blocks[-1]] if self.blocks else ("", False, False)
+
+    def end(self, tag: str) -> None:
+        """An end tag; those that fit no open element do nothing, inline ones close none beyond their block."""
+        if tag in BLOCKS:
+            if self.counts[tag]:
+                self.cut(next(k for k in reversed(self.blocks) if self.stack[k][0] == tag))
+        elif self.inline[-1][tag]:
+            k = len(self.stack) - 1
+            while self.stack[k][0] != tag:
+                k -= 1
+            self.cut(k)
+
+    def begin(self, tag: str) -> None:
+        """What a block-level start tag closes by itself: a paragraph, and items of the same list or table."""
+        if tag != "option" and self.block()[0] == "p":
+            self.cut(self.blocks[-1])
+        if not any(self.counts[t] for t in SHUTS.get(tag, ())):
+            return
+        for k in reversed(self.blocks):
+            other = self.stack[k][0]
+            if other in SHUTS[tag]:
+                self.cut(k)
+                break
+            if other in HOLDERS or (tag in ("td", "th") and other == "tr"):
+                break
+
+
 def blocks(html: str) -> list[Block]:
     """The page's blocks with text, in order. Tags may be unclosed or closed out of order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, in boilerplate, in the article
+    tags = _Open()
     run: list[str] = []
-    linked = [0]
+    linked = 0
     at, end = 0, len(html)
 
-    def of_block() -> tuple[str, bool]:
-        """The innermost open block's tag, and whether it is boilerplate."""
-        return next(((t, b) for t, b, _ in reversed(stack) if t in BLOCKS), ("", False))
-
     def flush() -> None:
+        nonlocal linked
         if text := " ".join("".join(run).split()):
-            tag, boilerplate = of_block()
-            out.append(Block(text, min(linked[0], len(text)), tag, boilerplate, bool(stack) and stack[-1][2]))
+            tag, boilerplate, _ = tags.block()
+            out.append(Block(text, min(linked, len(text)), tag, boilerplate, tags.last()[2]))
         run.clear()
-        linked[0] = 0
+        linked = 0
 
     def say(raw: str) -> None:
-        if not raw or (stack and stack[-1][1] and not of_block()[1]):
+        nonlocal linked
+        if not raw or (tags.last()[1] and not tags.block()[1]):
             return  # nothing, or an advert or hidden part inside a line
         text = unescape(raw) if "&" in raw else raw
         run.append(text)
-        if any(t == "a" for t, _, _ in stack):
-            linked[0] += len(" ".join(text.split()))
+        if tags.counts["a"]:
+            linked += len(" ".join(text.split()))
 
     for m in _TOKEN.finditer(html):
         if m.start() < at:
@@ -128,98 +193,86 @@ def blocks(html: str) -> list[Block]:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag not in BLOCKS:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
-                    if stack[k][0] in BLOCKS:
-                        break
-            elif any(t == tag for t, _, _ in stack):
+            if tag in BLOCKS and tags.counts[tag]:
                 flush()
-                while stack.pop()[0] != tag:
-                    pass
+            tags.end(tag)
             continue
         if tag in UNREAD and tag != "head":
-            shut = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(html, at)
+            shut = _shut(tag).search(html, at)
             at = shut.end() if shut else end
             continue
         if tag == "br":
             run.append(" ")
         if tag in BLOCKS:
             flush()
-            if tag != "option" and any(t == "p" for t, _, _ in stack[-8:]):
-                k = max(k for k, (t, _, _) in enumerate(stack) if t == "p")
-                if not any(t in BLOCKS for t, _, _ in stack[k + 1 :]):
-                    del stack[k:]
-            if shuts := SHUTS.get(tag):
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in shuts:
-                        del stack[k:]
-                        break
-                    if stack[k][0] in ("ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "select", "div", "article", "section", "nav") or (tag in ("td", "th") and stack[k][0] == "tr"):
-                        break
+            tags.begin(tag)
         if tag in VOID:
             continue
-        _, bad, art = stack[-1] if stack else ("", False, False)
+        _, bad, art = tags.last()
         own = tag in BOILERPLATE or _hinted(tag, m[3])
-        art = art or (tag in ("article", "main") and not own and not bad)
-        stack.append((tag, bad or own, art))
+        tags.push(tag, bad or own, art or (tag in ("article", "main") and not own and not bad))
     say(_CUT_OFF.sub("", html[at:]))
     flush()
     return out
 
 
+@lru_cache(maxsize=64)
+def _shut(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I)
+
+
 def _density(text: str) -> float:
     words = text.lower().split()
     return sum(w.strip(".,;:!?()\"'«»„“”") in STOP_WORDS for w in words) / len(words)
 
 
+def first_pass(b: Block, marked: bool, rules: Rules = Rules()) -> str:
+    """good, bad, near (middling density), or open; marked: whether the page marks its article."""
+    text_tag = b.tag in HEADINGS or b.tag == "p"
+    if (b.boilerplate and not (b.article and b.tag in HEADINGS)) or (marked and not b.article):
+        return "bad"
+    if b.link_chars > rules.links * len(b.text) and not (b.article and text_tag):
+        return "bad"
+    if len(b.text) < rules.short:
+        return "bad" if b.link_chars and not b.article else "open"
+    share = _density(b.text)
+    if share >= (rules.few if b.article else rules.many) and (b.article or len(b.text) >= rules.long):
+        return "good"
+    if share >= rules.few:
+        return "near"
+    return "open" if b.article or text_tag else "bad"
+
+
 def classify(found: list[Block], rules: Rules = Rules()) -> list[bool]:
     """Whether each block is main text."""
     marked = any(b.article and not b.boilerplate for b in found)
-    labels: list[str] = []
-    for b in found:
-        link = b.link_chars / len(b.text)
-        heading_in_header = b.article and b.tag in HEADINGS
-        if (b.boilerplate and not heading_in_header) or (marked and not b.article):
-            labels.append("bad")
-        elif marked:
-            if link > rules.links and b.tag not in ("p", *HEADINGS):
-                labels.append("bad")
-            else:
-                labels.append("good" if len(b.text) >= rules.short else "open")
-        elif link > rules.links:
-            labels.append("bad")
-        elif len(b.text) < rules.short:
-            labels.append("bad" if b.link_chars else "open")
-        else:
-            share = _density(b.text)
-            if share >= rules.many:
-                labels.append("good" if len(b.text) >= rules.long else "near")
-            else:
-                labels.append("near" if share >= rules.few else "bad")
-    if not marked and "good" not in labels:
+    labels = [first_pass(b, marked, rules) for b in found]
+    if "good" not in labels and not marked:
         labels = ["good" if x == "near" else x for x in labels]
-    before, after = ["bad"] * len(labels), ["bad"] * len(labels)
-    last = "good" if marked else "bad"
-    for k, x in enumerate(labels):
-        before[k] = last
-        last = x if x in ("good", "bad") else last
-    last = "good" if marked else "bad"
-    for k in range(len(labels) - 1, -1, -1):
-        after[k] = last
-        last = labels[k] if labels[k] in ("good", "bad") else last
+
+    def nearest(places: range) -> list[str | None]:
+        """The decided neighbour's label on one side; beyond an article's end it is good, beyond the page's there is none."""
+        out: list[str | None] = [None] * len(found)
+        last: str | None = None
+        inside = False
+        for k in places:
+            if found[k].article != inside:
+                inside = found[k].article
+                last = "good" if inside else last
+            out[k] = last
+            if labels[k] in ("good", "bad") and not (inside and found[k].boilerplate):
+                last = labels[k]
+        return out
+
+    before, after = nearest(range(len(found))), nearest(range(len(found) - 1, -1, -1))
     out = []
-    for k, x in enumerate(labels):
+    for b, x, p, q in zip(found, labels, before, after):
         if x in ("good", "bad"):
             out.append(x == "good")
-        elif marked:
-            out.append(True)
-        elif before[k] == after[k]:
-            out.append(before[k] == "good")
+        elif p is None or q is None or p == q:
+            out.append((p or q) == "good")
         else:
-            out.append(x == "near" or found[k].tag in HEADINGS and after[k] == "good")
+            out.append(b.article or x == "near" or b.tag == "p" or (b.tag in HEADINGS and q == "good"))
     return out
 
 
@@ -230,7 +283,7 @@ def main_text(html: str | None, rules: Rules = Rules()) -> str:
 
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text", keep: tuple[str, ...] = ("page_id", "url"), rules: Rules = Rules()) -> DataFrame:
-    """keep columns of pages, text_col and n_chars (its code points) of every row; no shuffle. Null html is empty."""
+    """keep columns of pages, text_col and n_chars (its code points) of every row, repeated ones too; no shuffle. Null html is empty."""
     kinds = [(c, pages.schema[c].dataType.simpleString()) for c in keep]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -243,4 +296,5 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text", ke
 
 
 def op3_html(spark, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     return extract(table(spark, sf_dir, "pages"))
