@@ -161,13 +161,14 @@ def _id3v2(data: bytes, at: int, tags: dict) -> int:
     p = at + 10
     if flags & 0x40 and major >= 3 and p + 4 <= end:
         p += _syncsafe(data[p : p + 4]) if major == 4 else 4 + int.from_bytes(data[p : p + 4], "big")
-    while major >= 3 and p + 10 <= end and data[p]:
-        name = data[p : p + 4].decode("latin-1")
-        n = _syncsafe(data[p + 4 : p + 8]) if major == 4 else int.from_bytes(data[p + 4 : p + 8], "big")
-        body = data[p + 10 : min(end, p + 10 + n)]
-        if name[0] == "T" and name != "TXXX":
+    letters, head = (3, 6) if major == 2 else (4, 10)
+    while major >= 2 and p + head <= end and data[p]:
+        name, raw = data[p : p + letters].decode("latin-1"), data[p + letters : p + 2 * letters]
+        n = _syncsafe(raw) if major == 4 else int.from_bytes(raw, "big")
+        body = data[p + head : min(end, p + head + n)]
+        if name[0] == "T" and not name.startswith("TXX"):
             tags[name] = _text(body)
-        p += 10 + n
+        p += head + n
     return min(len(data), at + 10 + size + (10 if flags & 0x10 else 0))
 
 
@@ -235,10 +236,7 @@ def _walk(data: bytes, at: int, end: int, track: Track) -> int:
                     at += n
                     last = at - n if at == end else end
                     continue
-            count = (end - at) // n
-            heads = view[at : at + count * n].reshape(count, n)[:, :4]
-            other = np.flatnonzero((heads != heads[0]).any(axis=1)) if count > 1 else ()
-            run = at + n * np.arange(other[0] if len(other) else count)
+            run = at + n * np.arange(_equal_frames(view[at:end], n))
             offsets.append(run)
             track.samples += h.samples * len(run)
             track.kbps.add(h.kbps)
@@ -256,6 +254,18 @@ def _walk(data: bytes, at: int, end: int, track: Track) -> int:
     return last
 
 
+def _equal_frames(view: np.ndarray, n: int) -> int:
+    """How many frames of n bytes the stream begins with that have the first one's header; looks at no more than twice as many."""
+    count, whole, some = 1, len(view) // n, 4
+    while count < whole:
+        heads = view[count * n : min(whole, count + some) * n].reshape(-1, n)[:, :4]
+        other = np.flatnonzero((heads != view[:4]).any(axis=1))
+        if len(other):
+            return count + int(other[0])
+        count, some = count + len(heads), some * 2
+    return count
+
+
 def _alike(a: Header, b: Header) -> bool:
     return (a.version, a.layer, a.rate) == (b.version, b.layer, b.rate)
 
@@ -311,7 +321,7 @@ def padded(data: bytes, block: int = BLOCK) -> bytes:
 
 
 def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, media binary) of every row; a null text is an empty one. No shuffle."""
+    """(id, n_bytes, media binary) of every row, repeated ones too; a null text is an empty one. No shuffle."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -323,7 +333,7 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 PROBE = (
-    "version string, layer int, sample_rate int, channels int, n_frames bigint, n_samples bigint, duration_s double, min_kbps int, max_kbps int, "
+    "version string, layer int, sample_rate int, channels int, n_frames bigint, n_samples bigint, duration string, duration_s double, min_kbps int, max_kbps int, "
     "vbr_kind string, vbr_frames bigint, crc_good bigint, crc_bad bigint, crc_unchecked bigint, junk_bytes bigint, tags map<string,string>, frame_offsets array<bigint>"
 )
 
@@ -333,7 +343,7 @@ def _facts(data: bytes | None) -> dict:
     h = t.first
     return {
         "version": h and h.version, "layer": h and h.layer, "sample_rate": h and h.rate, "channels": h and h.channels,
-        "n_frames": len(t.offsets), "n_samples": t.samples, "duration_s": float(t.duration),
+        "n_frames": len(t.offsets), "n_samples": t.samples, "duration": str(t.duration), "duration_s": float(t.duration),
         "min_kbps": min(t.kbps, default=None), "max_kbps": max(t.kbps, default=None),
         "vbr_kind": t.vbr.get("kind"), "vbr_frames": t.vbr.get("frames"),
         "crc_good": t.crc_good, "crc_bad": t.crc_bad, "crc_unchecked": t.crc_unchecked, "junk_bytes": t.junk,
@@ -342,7 +352,10 @@ def _facts(data: bytes | None) -> dict:
 
 
 def probe(df: DataFrame, media_col: str = "media", keep: tuple[str, ...] = ("id",)) -> DataFrame:
-    """keep columns of df and PROBE's of every row's stream; null or foreign bytes have 0 frames and null properties."""
+    """keep columns of df and PROBE's of every row's stream; duration is exact, as a fraction of seconds.
+
+    Null or foreign bytes have 0 frames and null properties. Each row stands for itself, repeated ones too.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 

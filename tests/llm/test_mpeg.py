@@ -1,6 +1,7 @@
 import hashlib
 import zlib
 from fractions import Fraction
+from time import process_time
 
 import numpy as np
 
@@ -95,3 +96,18 @@ def test_texts_that_look_like_a_closing_tag(spark, tmp_path):
     closing = b"TAG" + b"Other".ljust(125, b"\0")
     assert mpeg.read(media + closing).tags == {"TSSE": "ancillary", "TIT2": "Other"}
     assert mpeg.payload(media, mpeg.read(media + closing)) == look.encode()
+
+
+def test_long_variable_bitrate_takes_linear_time():
+    frames = [frame(0xFB, 0x90 | 2 * (k % 2), 0x00) for k in range(2)]
+    data = b"".join(frames) * 50_000
+    began = process_time()
+    t = mpeg.read(data)
+    assert process_time() - began < 30
+    assert len(t.offsets) == 100_000 and t.junk == 0 and t.duration == Fraction(100_000 * 1152, 44100)
+
+
+def test_old_tags():
+    body = b"TT2" + (5).to_bytes(3, "big") + b"\0Name"
+    t = mpeg.read(b"ID3\x02\0\0" + bytes([0, 0, 0, len(body)]) + body + frame(0xFB, 0x90, 0x00) * 2)
+    assert t.tags == {"TT2": "Name"} and len(t.offsets) == 2
