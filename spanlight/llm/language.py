@@ -10,11 +10,11 @@ a sum of looked-up rows.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +28,7 @@ SAMPLE, SAMPLE_WINDOWS = 3000, 4
 UNKNOWN = "und"
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 @dataclass
@@ -170,21 +170,24 @@ def sample_windows(text: bytes, count: int = SAMPLE_WINDOWS) -> np.ndarray:
     return rows if len(rows) <= count else rows[np.linspace(0, len(rows) - 1, count).astype(int)]
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE) -> Network:
-    """A network from at most sample labelled documents (null texts and labels are none)."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE, sample_windows_each: int = SAMPLE_WINDOWS) -> Network:
+    """A network from at most sample labelled documents and sample_windows_each windows of each (null texts and labels are none)."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label")).filter("text is not null and label is not null")
     picked = rows.select("id", "label").orderBy(F.xxhash64("id"), "id", "label").limit(sample).distinct()
     found = rows.join(F.broadcast(picked), ["id", "label"]).select(utf8("text").alias("text"), "label", "id").orderBy("id").limit(2 * sample).toArrow()
     texts, labels = found.column("text").to_pylist(), found.column("label").to_pylist()
     languages = sorted(set(labels))
-    cut = [(sample_windows(t), languages.index(x)) for t, x in zip(texts, labels) if _LETTER.search(t.decode(errors="replace"))]
+    cut = [(sample_windows(t, sample_windows_each), languages.index(x)) for t, x in zip(texts, labels) if _LETTER.search(t.decode(errors="replace"))]
     if not cut:
         return train(np.zeros((0, WINDOW), np.uint8), np.zeros(0, int), languages)
     return train(np.concatenate([w for w, _ in cut]), np.concatenate([np.full(len(w), k) for w, k in cut]), languages)
 
 
 def identify(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score) of every row, in one pass without a shuffle. Null texts and texts without a letter are `und`."""
+    """(id, lang_pred, score) of every row, repeated ones too, in one pass without a shuffle.
+
+    Null texts and texts without a letter are `und` with 0; of languages equally likely, the first by name is it.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
     held: list[Predictor] = []
 
@@ -199,6 +202,7 @@ def identify(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: st
 
 
 def op5_language(spark, sf_dir: str) -> DataFrame:
+    """The language of every document; the network learns from three documents in four."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     net = fit(docs.filter(id_crc32() % 4 != 2))
     held = F.coalesce(id_crc32("id") % 4 == 2, F.lit(False))

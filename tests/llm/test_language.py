@@ -69,3 +69,9 @@ def test_held_out_accuracy_and_odd_rows(spark):
     none = L.fit(odd.selectExpr("doc_id", "text", "cast(null as string) lang"))
     assert {r.lang_pred for r in L.identify(odd, none).collect()} == {"und"}
     assert L.identify(odd.limit(0), none).count() == 0
+
+
+def test_numerals_are_no_letters():
+    net = random_network()
+    found = L.Predictor(net).predict(["½ ² ① Ⅷ 12".encode(), "".encode(), "½ é".encode(), "五".encode()])
+    assert [x == L.UNKNOWN for x, _ in found] == [True, True, False, False]
