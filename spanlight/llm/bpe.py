@@ -111,8 +111,8 @@ class BytePairs:
         except UnicodeDecodeError:
             return joined.decode(errors="replace").encode()
 
-    def decode(self, ids: list[int]) -> str:
-        return self.decode_bytes(np.array(ids, "<u4")).decode()
+    def decode(self, ids: np.ndarray | list[int]) -> str:
+        return b"".join(map(self.strings.__getitem__, np.asarray(ids).tolist())).decode(errors="replace")
 
 
 @lru_cache(maxsize=2)
@@ -137,7 +137,7 @@ def text_column(column: pa.Array) -> pa.Array:
 def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "token_ids", path: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep columns of docs and ids_col array<int> of every row, in one pass without a shuffle.
 
-    A null text is an empty one and has no ids. Texts of any length are encoded whole.
+    A null text is an empty one and has no ids. Texts of any length are encoded whole. Repeated rows give repeated results.
     """
     path = path or vocabulary_path()
     kinds = [(c, docs.schema[c].dataType.simpleString()) for c in keep]
@@ -154,7 +154,7 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "token_ids",
 
 
 def decode(coded: DataFrame, ids_col: str = "token_ids", text_col: str = "text", path: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep columns of coded and text_col, the text of ids_col; null ids are none and give an empty text."""
+    """keep columns of coded and text_col, the text of ids_col, for every row, repeated ones too; null ids are none and give an empty text."""
     path = path or vocabulary_path()
     kinds = [(c, coded.schema[c].dataType.simpleString()) for c in keep]
 

@@ -13,15 +13,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import BytePairs, byte_pairs, vocabulary_path
-from .common import small_batches, table
+from .common import map_batches, small_batches, table
 
 MARKS = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<<ROLE>>", "<</ROLE>>")
 _OPEN = {"user": ("[INST]", "[/INST]"), "system": ("<<SYS>>", "<</SYS>>"), "assistant": (None, "</s>")}
@@ -33,8 +34,8 @@ class Template:
 
     def __init__(self, pairs: BytePairs):
         self.pairs = pairs
-        base = len(pairs.strings)
-        self.mark = {m: base + k for k, m in enumerate(MARKS)}
+        self.base = len(pairs.strings)
+        self.mark = {m: self.base + k for k, m in enumerate(MARKS)}
         self.string = {k: m for m, k in self.mark.items()}
         controls = sorted([*MARKS, *pairs.special], key=len, reverse=True)
         self.control = re.compile("|".join(map(re.escape, ["\\", *controls])))
@@ -46,117 +47,137 @@ class Template:
     def unescape(text: str) -> str:
         return _UNESCAPE.sub(r"\1", text)
 
-    def turns(self, roles: list[str], texts: list[str], opens: list[bool]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(ids, loss mask) of each turn; opens: whether it is the first of its conversation."""
+    def turns(self, roles: list[str], texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(ids, loss mask) of each turn, without the mark that opens a conversation."""
         codes = self.pairs.encode_all([self.escape(t) for t in texts])
-        named = self.pairs.encode_all([self.escape(r) for r in roles])
+        named = iter(self.pairs.encode_all([self.escape(r) for r in roles if r not in _OPEN]))
         out = []
-        for role, text, name, first in zip(roles, codes, named, opens):
-            before = [self.mark["<s>"]] if first else []
+        for role, body in zip(roles, codes):
             if role in _OPEN:
                 start, stop = _OPEN[role]
-                before += [self.mark[start]] if start else []
+                before = [self.mark[start]] if start else []
             else:
-                before += [self.mark["<<ROLE>>"], *name.tolist(), self.mark["<</ROLE>>"]]
-                stop = "</s>"
-            body = text
-            ids = np.concatenate([before, body, [self.mark[stop]]]).astype(np.int32)
+                before, stop = [self.mark["<<ROLE>>"], *next(named).tolist(), self.mark["<</ROLE>>"]], "</s>"
+            ids = np.empty(len(before) + len(body) + 1, np.int32)
+            ids[: len(before)], ids[len(before) : -1], ids[-1] = before, body, self.mark[stop]
             step = np.zeros(len(ids) + 1, np.int8)
             if role == "assistant":
-                np.add.at(step, [len(before), len(before) + len(body)], [1, -1])
+                step[len(before)] += 1
+                step[-2] -= 1
             out.append((ids, np.cumsum(step)[:-1] > 0))
         return out
 
+    def segments(self, ids: Iterable[int]) -> Iterator[tuple[int | None, int, int, str]]:
+        """(reserved id or None, first and last place, text) of each mark and each run between marks."""
+        ids = np.asarray(ids, np.int64)
+        at = 0
+        for k in [*np.flatnonzero(ids >= self.base).tolist(), len(ids)]:
+            if k > at:
+                yield None, at, k, self.pairs.decode(ids[at:k])
+            if k < len(ids):
+                yield int(ids[k]), k, k + 1, self.string[int(ids[k])]
+            at = k + 1
+
     def text(self, ids: Iterable[int]) -> str:
         """The formatted text of ids, marks included."""
-        parts, run = [], []
-        for k in [*ids, None]:
-            if k is None or k in self.string:
-                parts += [self.pairs.decode(run)] if run else []
-                parts += [self.string[k]] if k is not None else []
-                run = []
-            else:
-                run.append(k)
-        return "".join(parts)
+        return "".join(text for *_, text in self.segments(ids))
 
     def parse(self, ids: Iterable[int]) -> Iterator[tuple[str, str]]:
         """(role, text), unescaped, of each turn in ids."""
-        role, run = None, []
+        return self.parsed(self.segments(ids))
+
+    def parsed(self, segments: Iterable[tuple[int | None, int, int, str]]) -> Iterator[tuple[str, str]]:
+        role, run = None, ""
         shut = {self.mark["[/INST]"]: "user", self.mark["<</SYS>>"]: "system"}
         opens = {self.mark[m] for m in ("<s>", "[INST]", "<<SYS>>", "<<ROLE>>")}
-        for k in ids:
-            if k in opens:
-                run = []
+        for k, _, _, text in segments:
+            if k is None:
+                run = text
+            elif k in opens:
+                run = ""
             elif k == self.mark["<</ROLE>>"]:
-                role, run = self.unescape(self.pairs.decode(run)), []
-            elif k in shut or k == self.mark["</s>"]:
-                yield shut.get(k) or ("assistant" if role is None else role), self.unescape(self.pairs.decode(run))
-                role, run = None, []
+                role, run = self.unescape(run), ""
             else:
-                run.append(k)
+                yield shut.get(k) or ("assistant" if role is None else role), self.unescape(run)
+                role, run = None, ""
+
+    def masked(self, ids: np.ndarray, mask: np.ndarray, segments: list[tuple[int | None, int, int, str]]) -> str:
+        """The text under the mask, unescaped; a mask that is one run of segments needs no decoding again."""
+        at = np.flatnonzero(mask)
+        if not len(at):
+            return ""
+        first, end = int(at[0]), int(at[-1]) + 1
+        whole = [text for k, a, b, text in segments if k is None and (a, b) == (first, end)]
+        return self.unescape(whole[0] if whole and len(at) == end - first else self.pairs.decode(ids[at]))
 
 
 def format_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", path: str | None = None) -> DataFrame:
     """(conv_id, position, role, start, token_ids array<int>, loss_mask array<boolean>) of every turn, in order within its partition.
 
-    A conversation's rows come together in one task, sorted by turn (ties by role and text, nulls first), and pass
-    through it batch by batch: no conversation is ever gathered, however long. position counts from 0, start is the
-    turn's first token in its conversation. Null text and null role are empty; rows without conv_id are one conversation.
+    Turns are encoded where they lie; then a conversation's rows come together, sorted by turn (ties by role and
+    text, nulls first; repeated rows stay), and a running sum numbers them, so nothing but that and the first mark waits
+    for a long conversation. position counts from 0, start is the turn's first token in its conversation. Null text
+    and null role are empty; rows without conv_id are one conversation.
     """
     path = path or vocabulary_path()
-    kind = turns.schema[conv_col].dataType.simpleString()
-    small_batches(turns.sparkSession)
+    kinds = [turns.schema[c].dataType.simpleString() for c in (conv_col, turn_col)]
     rows = turns.select(
         F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text")
     )
-    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        template, now, position, start = Template(byte_pairs(path)), object(), 0, 0
-        for batch in batches:
-            convs, roles, texts = (c.to_pylist() for c in batch.columns)
-            opens, at = [], []
-            for c in convs:
-                opens.append(c != now)
-                position = 0 if opens[-1] else position + 1
-                now = c
-                at.append(position)
-            made, starts = template.turns(roles, texts, opens), []
-            for first, (ids, _) in zip(opens, made):
-                start = 0 if first else start
-                starts.append(start)
-                start += len(ids)
-            ends = np.cumsum([0, *(len(ids) for ids, _ in made)]).astype(np.int32)
-            flat = [np.concatenate([m[k] for m in made]) if made else np.zeros(0, t) for k, t in ((0, np.int32), (1, bool))]
-            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(f)) for f in flat]
-            columns = [batch.column(0), pa.array(at, pa.int64()), batch.column(1), pa.array(starts, pa.int64()), *lists]
-            yield pa.RecordBatch.from_arrays(columns, ["conv_id", "position", "role", "start", "token_ids", "loss_mask"])
-
-    return rows.mapInArrow(run, f"conv_id {kind}, position bigint, role string, start bigint, token_ids array<int>, loss_mask array<boolean>")
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        made = _template(path).turns(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+        ends = pa.array(np.cumsum([0, *(len(ids) for ids, _ in made)]).astype(np.int32))
+        flat = [np.concatenate([np.zeros(0, t), *(m[k] for m in made)]) for k, t in ((0, np.int32), (1, bool))]
+        lists = [pa.ListArray.from_arrays(ends, pa.array(f)) for f in flat]
+        return pa.RecordBatch.from_arrays([*batch.columns, *lists], [*batch.schema.names, "ids", "mask"])
+
+    schema = f"conv_id {kinds[0]}, turn {kinds[1]}, role string, text string, ids array<int>, mask array<boolean>"
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    before = F.coalesce(F.sum(F.size("ids")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = map_batches(rows, run, schema).select("conv_id", (F.row_number().over(order) - 1).cast("bigint").alias("position"), "role", before.alias("before"), "ids", "mask")
+    first, opening = F.col("position") == 0, F.lit(len(byte_pairs(path).strings) + MARKS.index("<s>"))
+    return numbered.select(
+        "conv_id", "position", "role", F.when(first, F.col("before")).otherwise(F.col("before") + 1).alias("start"),
+        F.when(first, F.concat(F.array(opening), "ids")).otherwise(F.col("ids")).alias("token_ids"),
+        F.when(first, F.concat(F.array(F.lit(False)), "mask")).otherwise(F.col("mask")).alias("loss_mask"),
+    )
+
+
+@lru_cache(maxsize=2)
+def _template(path: str) -> Template:
+    return Template(byte_pairs(path))
 
 
 def digests(formatted: DataFrame, path: str | None = None) -> DataFrame:
     """What the output of format_turns reads back as, for each conversation; it takes its partitions and order as they are."""
     path = path or vocabulary_path()
+    small_batches(formatted.sparkSession)
     kind = formatted.schema["conv_id"].dataType.simpleString()
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens"]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
 
+    def lists(column: pa.ListArray) -> Iterator[np.ndarray]:
+        ends, values = column.offsets.to_numpy().tolist(), column.values.to_numpy(zero_copy_only=False)
+        return (values[a:b] for a, b in zip(ends, ends[1:]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        template, now, state = Template(byte_pairs(path)), None, None
+        template, now, state = _template(path), None, None
         for batch in batches:
             done = []
-            for conv, position, ids, mask in zip(*(batch.column(k).to_pylist() for k in (0, 1, 4, 5))):
+            convs, positions = (batch.column(k).to_pylist() for k in (0, 1))
+            for conv, position, ids, mask in zip(convs, positions, lists(batch.column(4)), lists(batch.column(5))):
                 if position == 0:
                     done += [(now, *finish(state))] if state else []
                     now, state = conv, [0, sha256(), 0, sha256(), 0, 0]
-                for role, text in template.parse(ids):
+                segments = list(template.segments(ids))
+                for role, text in template.parsed(segments):
                     state[0] += 1
                     state[1].update(f"{role}\n{text}\n".encode())
-                loss = template.unescape(template.pairs.decode([k for k, m in zip(ids, mask) if m]))
+                loss = template.masked(ids, mask, segments)
                 state[2] += len(loss)
                 state[3].update(loss.encode())
-                state[4] += len(template.text(ids))
+                state[4] += sum(len(text) for *_, text in segments)
                 state[5] += len(ids)
             yield batch_of(done)
         yield batch_of([(now, *finish(state))] if state else [])
@@ -179,6 +200,7 @@ PLANTED = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[
 
 
 def op8_chat(spark, sf_dir: str) -> DataFrame:
+    """Formats every conversation, and digests what its output reads back as."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.createDataFrame(PLANTED, "conv_id bigint, turn bigint, role string, text string")
     return digests(format_turns(turns.unionByName(planted)))
