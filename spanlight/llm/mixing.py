@@ -28,6 +28,7 @@ BINS = 2048
 SAMPLE = 2000
 #: The queries' target weights by language, the domain of their labelled table.
 TARGETS = {"en": 0.5, "de": 0.18, "fr": 0.18, "es": 0.14}
+#: Rounds of the fit, and the share of all tokens that a domain may be off when it ends earlier; Plan.met tells.
 ROUNDS, TOLERANCE = 40, 1e-5
 DRAWS = 1 << 20
 
@@ -115,6 +116,12 @@ class Plan:
     targets: list[float] = field(default_factory=list)
     reached: list[float] = field(default_factory=list)
 
+    @property
+    def met(self) -> bool:
+        """Whether the fit reached its targets within the tolerance before its rounds were over."""
+        off = np.abs(np.array(self.reached) - np.array(self.targets))
+        return bool(off.max(initial=0.0) <= TOLERANCE * max(1.0, sum(self.targets)))
+
     def rates(self, p: np.ndarray) -> np.ndarray:
         """The rate of each row of posteriors."""
         r = np.ones(len(p))
@@ -198,7 +205,10 @@ def copies(rate: Column, id_col: Column, seed: int = 7) -> Column:
 
 
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", lossless: bool = True) -> DataFrame:
-    """The rows of docs, each as many times as its copies, all columns; with lossless (its default) at least once."""
+    """The rows of docs, each as many times as its copies, all columns; with lossless (its default) at least once.
+
+    Null texts are empty. Rows that share an id have the same draw; rows without one too.
+    """
     model = fit_classifier(docs, labelled, id_col, text_col, domain_col)
     scored = cut(with_posteriors(with_tokens(docs.select(text_col), text_col), model, text_col).select("__n", "__p"))
     plan = solve(scored, model.domains, weights, lossless)
@@ -227,6 +237,7 @@ def by_language(docs: DataFrame) -> DataFrame:
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
+    """Tokens, domain posteriors, rate and copies of every document for the target weights, and whether the fit met them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    rates, _ = fit_rates(docs, by_language(docs), TARGETS)
-    return rates.withColumnRenamed("id", "doc_id")
+    rates, plan = fit_rates(docs, by_language(docs), TARGETS)
+    return rates.withColumnRenamed("id", "doc_id").withColumn("targets_met", F.lit(plan.met))

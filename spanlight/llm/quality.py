@@ -165,6 +165,7 @@ COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 
 def op1_quality(spark, sf_dir: str) -> DataFrame:
+    """The measures and the verdict of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return measure(docs).select("doc_id", *(F.col(f"__quality.{c}").alias(c) for c in COLUMNS))
 

@@ -206,6 +206,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document: three-word shingles, links of three bits at most."""
     from .common import table
 
     found = near_duplicates(table(spark, sf_dir, "documents"))

@@ -203,7 +203,7 @@ class Sequences:
 
 
 def read_documents(index: DataFrame, uri: str) -> DataFrame:
-    """(id, start, n_tokens, ids_crc32) of every document of write_shards' table, from the files."""
+    """(id, start, n_tokens, ids_crc32) of every document of write_shards' table, from the files; repeated ids have a row each."""
     kind = index.schema["id"].dataType.simpleString()
     small_batches(index.sparkSession)
 
@@ -222,6 +222,7 @@ def read_documents(index: DataFrame, uri: str) -> DataFrame:
 
 
 def op6_arrow_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the ids of every document to Arrow files in the shared folder, and reads each document back from them."""
     uri = scratch(spark, "sequences")
     index = write_shards(table(spark, sf_dir, "documents"), uri)
     return read_documents(index, uri).withColumnRenamed("id", "doc_id")
