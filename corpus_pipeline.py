@@ -2,7 +2,8 @@
 
 STAGES lists its stages; each takes (spark, docs, sf_dir) and returns a DataFrame, all but the last one with the
 columns of documents. A stage works on all its predecessor kept. run() writes each stage's rows to the shared
-folder and reads them again, so no stage is computed twice and lost executors cost a stage at most.
+folder and reads them again, so no stage is computed twice and lost executors cost a stage at most; what the stage
+before has written is deleted then.
 """
 
 from __future__ import annotations
@@ -57,4 +58,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            common.discard(spark, f"{folder}/{k - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
