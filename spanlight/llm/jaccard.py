@@ -14,7 +14,7 @@ from bisect import bisect_left
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, schema_ddl, utf8
@@ -22,8 +22,10 @@ from .common import map_batches, schema_ddl, utf8
 #: Words of a shingle, and the least similarity of a link, as a fraction.
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 4, 5
 SEED = 42
-#: Words whose hashes a worker remembers.
-WORDS = 300_000
+#: Words whose hashes a worker remembers, and lanes of counts().
+WORDS, LANES = 300_000, 64
+#: Rows of one batch of keys, about; a text's own are never split.
+KEY_ROWS = 200_000
 _LAST = [0]
 
 
@@ -102,6 +104,22 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return shared * DENOMINATOR >= (len(both) - shared) * NUMERATOR
 
 
+def counts(members: np.ndarray) -> np.ndarray:
+    """How many members fall to each of LANES lanes: counts of two sets differ by no more in sum than the sets do."""
+    return np.bincount((members % np.uint64(LANES)).astype(np.int64), minlength=LANES)
+
+
+def may_be_alike(a: Column, b: Column) -> Column:
+    """Whether the counts of two sets leave room for a similarity of 0.8; false for no similar pair.
+
+    Sets of that similarity differ in no more than a ninth of their members, all lanes together, so their chain of
+    lanes may never have more differences.
+    """
+    total = F.aggregate(F.concat(a, b), F.lit(0), lambda s, x: s + x)
+    differ = F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+    return differ * (DENOMINATOR + NUMERATOR) <= total * (DENOMINATOR - NUMERATOR)
+
+
 def named(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs and __set bigint, the name of the row's set; a null text is empty."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -111,6 +129,36 @@ def named(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return map_batches(docs.select("*", utf8(text_col).alias("__t")), run, f"{schema_ddl(docs)}, __set bigint")
 
 
+def keyed(docs: DataFrame, text_col: str) -> DataFrame:
+    """(key, node): every key of every row's set; once a batch where rows are copies."""
+
+    def run(batch: pa.RecordBatch):
+        left: list[np.ndarray] = []
+        nodes: list[np.ndarray] = []
+        seen, rows = set(), 0
+
+        def out() -> pa.RecordBatch:
+            k, n = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (left, nodes))
+            return pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["key", "node"])
+
+        for text in batch.column(0).to_pylist():
+            members = shingles(text)
+            name = digest(members)
+            if name in seen:
+                continue
+            seen.add(name)
+            some = keys(members)
+            left.append(some)
+            nodes.append(np.full(len(some), name, np.int64))
+            rows += len(some)
+            if rows > KEY_ROWS:
+                yield out()
+                left, nodes, rows = [], [], 0
+        yield out()
+
+    return map_batches(docs.select(utf8(text_col).alias("text")), run, "key bigint, node bigint")
+
+
 def sets(docs: DataFrame, text_col: str) -> DataFrame:
     """(node, members binary) of every row."""
 

@@ -138,23 +138,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, node, fp, keys) of every row: the name of its set, its fingerprint, and the set's keys at its first row in a batch."""
+    """(id, node, fp, counts) of every row: the name of its set, the set's fingerprint and counts."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        names, fps, keys, seen = [], [], [], set()
-        for text in batch.column(1).to_pylist():
-            members = jaccard.shingles(text)
-            name = jaccard.digest(members)
-            names.append(name)
-            fps.append(majority(members) if len(members) else 0)
-            keys.append(jaccard.keys(members) if name not in seen else np.zeros(0, np.int64))
-            seen.add(name)
-        ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.int64()), pa.array(fps, pa.int64()), lists], ["id", "node", "fp", "keys"])
+        found = [jaccard.shingles(t) for t in batch.column(1).to_pylist()]
+        columns = [
+            batch.column(0),
+            pa.array([jaccard.digest(m) for m in found], pa.int64()),
+            pa.array([majority(m) if len(m) else 0 for m in found], pa.int64()),
+            pa.array([jaccard.counts(m) for m in found], pa.list_(pa.int32())),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["id", "node", "fp", "counts"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text")), run, f"id {kind}, node bigint, fp bigint, keys array<bigint>")
+    return map_batches(docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text")), run, f"id {kind}, node bigint, fp bigint, counts array<int>")
+
+
+def _left(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The distinct pairs (u, v) of nodes whose counts leave room for a link."""
+    for end, name in (("u", "a"), ("v", "b")):
+        pairs = (pairs.distinct() if end == "u" else pairs).join(nodes.select(F.col("node").alias(end), F.col("counts").alias(name)), end)
+    return pairs.filter(jaccard.may_be_alike(F.col("a"), F.col("b"))).select("u", "v")
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The pairs whose sets are alike; only the texts of their nodes are read again."""
+    nodes = cut(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+    ids = rows.filter("id is not null").join(nodes, "node").groupBy("node").agg(F.min("id").alias(id_col)).select(id_col).distinct()
+    texts = docs.select(id_col, text_col)
+    source = texts.join(ids, id_col, "left_semi").union(texts.filter(F.col(id_col).isNull()))
+    members = cut(jaccard.sets(source, text_col).join(nodes, "node", "left_semi").dropDuplicates(["node"]))
+    return cut(jaccard.verified(pairs, members))
 
 
 def _roots(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, max_bits: int) -> DataFrame:
@@ -163,24 +177,19 @@ def _roots(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, max_bit
     The ring's links come first. Sets that meet at an exact key are then compared with the least of them, and only those
     that are not yet in one component with each other, so a group of many near copies costs rows in proportion to its size.
     """
+    nodes = cut(rows.select("node", "fp", "counts").dropDuplicates(["node"]))
+    prints = nodes.groupBy("fp").agg(F.min("node").alias("node"))
+    same = nodes.select("fp", "node").join(prints.withColumnRenamed("node", "least"), "fp").filter("node > least")
+    near = links(prints, max_bits).union(same.select(F.col("least").alias("u"), F.col("node").alias("v")))
     least = Window.partitionBy("key").orderBy("node")
-    keyed = rows.select(F.explode("keys").alias("key"), "node")
-    met = cut(keyed.withColumn("least", F.first("node").over(least)).filter("node > least").distinct())
-    prints = rows.filter("node is not null").groupBy("fp").agg(F.min("node").alias("node"))
-    same = rows.select("fp", "node").distinct().join(prints.withColumnRenamed("node", "least"), "fp").filter("node > least")
-    near = cut(links(prints, max_bits).union(same.select(F.col("least").alias("u"), F.col("node").alias("v"))))
-    first = met.select(F.col("least").alias("u"), F.col("node").alias("v"))
-    nodes = cut(first.union(near).select(F.explode(F.array("u", "v")).alias("node")).distinct())
-    ids = rows.filter("id is not null").join(nodes, "node").groupBy("node").agg(F.min("id").alias(id_col)).select(id_col).distinct()
-    texts = docs.select(id_col, text_col)
-    source = texts.join(ids, id_col, "left_semi").union(texts.filter(F.col(id_col).isNull()))
-    members = cut(jaccard.sets(source, text_col).join(nodes, "node", "left_semi").dropDuplicates(["node"]))
-    linked = jaccard.verified(first.union(near).distinct(), members)
-    roots = cut(components(cut(linked), "u", "v"))
+    met = cut(jaccard.keyed(docs, text_col).withColumn("least", F.first("node").over(least)).filter("node > least").distinct())
+    first = cut(_left(met.select(F.col("least").alias("u"), F.col("node").alias("v")).union(near), nodes))
+    roots = cut(components(_linked(first, docs, rows, id_col, text_col), "u", "v"))
     held = met.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     a, b = (held.select(*(F.col(c).alias(f"{c}_{s}") for c in held.columns)) for s in "ab")
     rest = a.join(b, (F.col("key_a") == F.col("key_b")) & (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")))
-    more = jaccard.verified(rest.select(F.col("node_a").alias("u"), F.col("node_b").alias("v")).distinct(), members)
+    rest = cut(_left(rest.select(F.col("node_a").alias("u"), F.col("node_b").alias("v")), nodes))
+    more = _linked(rest, docs, rows, id_col, text_col)
     return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more), "u", "v")
 
 

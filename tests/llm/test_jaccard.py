@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from spanlight.llm import jaccard, simhash
@@ -67,3 +68,17 @@ def test_stage_finds_copies_of_many_bits(spark):
     assert sorted(r.doc_id for r in stage(spark, docs, "").collect()) == [1, 3]
 
 
+
+
+def test_counts_never_part_similar_sets(spark):
+    rng = np.random.default_rng(3)
+    rows, want = [], []
+    for n in [1, 4, 5, 9, 40, 300, 2000] * 6:
+        a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        gone = int(rng.integers(0, n // 6 + 1))
+        b = np.unique(np.r_[rng.permutation(a)[gone:], rng.integers(0, 2**64, int(rng.integers(0, n // 6 + 1)), dtype=np.uint64)])
+        rows.append((jaccard.counts(a).tolist(), jaccard.counts(b).tolist()))
+        want.append(jaccard.alike(a, b))
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, a array<int>, b array<int>")
+    left = {r.k for r in df.filter(jaccard.may_be_alike(F.col("a"), F.col("b"))).collect()}
+    assert {k for k, w in enumerate(want) if w} <= left and 0 < len(left) < len(rows)
