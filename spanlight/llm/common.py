@@ -47,6 +47,15 @@ def scratch(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+#: Rows of ids up to which a filter by ids sends them to all machines; beyond, both sides are shuffled.
+BROADCAST_IDS = 500_000
+
+
+def by_ids(df: DataFrame, ids: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
+    """df filtered by a table of ids, which is counted first; df is not shuffled as long as there are few."""
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, how)
+
+
 def discard(spark: SparkSession, folder: str) -> None:
     """Deletes a folder that scratch() named, by way of Hadoop's file systems."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)

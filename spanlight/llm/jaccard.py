@@ -23,9 +23,11 @@ from .common import map_batches, schema_ddl, utf8
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 4, 5
 SEED = 42
 #: Words whose hashes a worker remembers, and lanes of counts().
-WORDS, LANES = 300_000, 64
+WORDS, LANES = 300_000, 256
 #: Rows of one batch of keys, about; a text's own are never split.
 KEY_ROWS = 200_000
+#: Bits of a key: fewer make a smaller shuffle, and more sets that meet by chance.
+KEY_BITS = 48
 _LAST = [0]
 
 
@@ -74,14 +76,14 @@ def _interval(n: int) -> int:
 
 
 def keys(members: np.ndarray) -> np.ndarray:
-    """The keys of a set, signed; two sets of similarity 0.8 or more have one in common. An empty set has none."""
+    """The keys of a set; two sets of similarity 0.8 or more have one in common. An empty set has none."""
     if not len(members):
         return np.zeros(0, np.int64)
     out, mixed = [], _mix(members + np.uint64(0x9E3779B97F4A7C15))
     own = _interval(len(members))
     for i in (own, own + 1):
         differ = _LAST[i] * 2 * (DENOMINATOR - NUMERATOR) // (DENOMINATOR + NUMERATOR)
-        parts = differ + 1 + -(-differ // 4) + min(differ, 6)
+        parts = differ + 1 + -(-differ // 10) + min(differ, 6)
         part = members % np.uint64(parts)
         order = np.argsort(part, kind="stable")
         part = part[order]
@@ -92,7 +94,7 @@ def keys(members: np.ndarray) -> np.ndarray:
             empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), used)
             used, sums = np.r_[used, empty], np.r_[sums, np.zeros(len(empty), np.uint64)]
         out.append(_mix(sums + _mix(used + np.uint64(i << 32))))
-    return np.concatenate(out).view(np.int64)
+    return (np.concatenate(out) >> np.uint64(64 - KEY_BITS)).view(np.int64)
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -105,18 +107,17 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def counts(members: np.ndarray) -> np.ndarray:
-    """How many members fall to each of LANES lanes: counts of two sets differ by no more in sum than the sets do."""
-    return np.bincount((members % np.uint64(LANES)).astype(np.int64), minlength=LANES)
+    """How many members fall to each of LANES lanes, up to 127: counts of two sets differ by no more in sum than the sets do."""
+    return np.minimum(np.bincount((members % np.uint64(LANES)).astype(np.int64), minlength=LANES), 127).astype(np.int8)
 
 
-def may_be_alike(a: Column, b: Column) -> Column:
-    """Whether the counts of two sets leave room for a similarity of 0.8; false for no similar pair.
+def may_be_alike(a: Column, b: Column, total: Column) -> Column:
+    """Whether the counts of two sets of so many members leave room for a similarity of 0.8; false for no similar pair.
 
     Sets of that similarity differ in no more than a ninth of their members, all lanes together, so their chain of
     lanes may never have more differences.
     """
-    total = F.aggregate(F.concat(a, b), F.lit(0), lambda s, x: s + x)
-    differ = F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+    differ = F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x.cast("int") - y)), F.lit(0), lambda s, x: s + x)
     return differ * (DENOMINATOR + NUMERATOR) <= total * (DENOMINATOR - NUMERATOR)
 
 

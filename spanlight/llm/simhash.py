@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import jaccard
-from .common import cut, map_batches, utf8
+from .common import by_ids, cut, map_batches, utf8
 from .components import components
 
 SEED = 42
@@ -138,7 +138,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, node, fp, counts) of every row: the name of its set, the set's fingerprint and counts."""
+    """(id, node, fp, size, counts) of every row: the name of its set, the set's fingerprint, size and counts."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [jaccard.shingles(t) for t in batch.column(1).to_pylist()]
@@ -146,50 +146,54 @@ def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             batch.column(0),
             pa.array([jaccard.digest(m) for m in found], pa.int64()),
             pa.array([majority(m) if len(m) else 0 for m in found], pa.int64()),
-            pa.array([jaccard.counts(m) for m in found], pa.list_(pa.int32())),
+            pa.array(map(len, found), pa.int32()),
+            pa.array([jaccard.counts(m) for m in found], pa.list_(pa.int8())),
         ]
-        return pa.RecordBatch.from_arrays(columns, ["id", "node", "fp", "counts"])
+        return pa.RecordBatch.from_arrays(columns, ["id", "node", "fp", "size", "counts"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text")), run, f"id {kind}, node bigint, fp bigint, counts array<int>")
+    return map_batches(docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text")), run, f"id {kind}, node bigint, fp bigint, size int, counts array<tinyint>")
 
 
 def _left(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The distinct pairs (u, v) of nodes whose counts leave room for a link."""
+    pairs = pairs.distinct()
     for end, name in (("u", "a"), ("v", "b")):
-        pairs = (pairs.distinct() if end == "u" else pairs).join(nodes.select(F.col("node").alias(end), F.col("counts").alias(name)), end)
-    return pairs.filter(jaccard.may_be_alike(F.col("a"), F.col("b"))).select("u", "v")
+        pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("size").alias(f"n{name}"), F.col("counts").alias(name)), end)
+        pairs = pairs if end == "u" else pairs.filter("4 * na <= 5 * nb and 4 * nb <= 5 * na")
+    return pairs.filter(jaccard.may_be_alike(F.col("a"), F.col("b"), F.col("na") + F.col("nb"))).select("u", "v")
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs whose sets are alike; only the texts of their nodes are read again."""
+def _linked(pairs: DataFrame, docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, repeated: bool) -> DataFrame:
+    """The pairs whose sets are alike; only the texts of their nodes are read again. repeated: whether ids are."""
     nodes = cut(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
-    ids = rows.filter("id is not null").join(nodes, "node").groupBy("node").agg(F.min("id").alias(id_col)).select(id_col).distinct()
+    ids = cut(rows.select("id", "node").join(nodes, "node").groupBy("node").agg(F.min("id").alias(id_col)).select(id_col).distinct())
     texts = docs.select(id_col, text_col)
-    source = texts.join(ids, id_col, "left_semi").union(texts.filter(F.col(id_col).isNull()))
-    members = cut(jaccard.sets(source, text_col).join(nodes, "node", "left_semi").dropDuplicates(["node"]))
+    members = jaccard.sets(by_ids(texts, ids, id_col).union(texts.filter(F.col(id_col).isNull())), text_col)
+    members = by_ids(members, nodes, "node")
+    members = cut(members.dropDuplicates(["node"]) if repeated else members)
     return cut(jaccard.verified(pairs, members))
 
 
-def _roots(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, max_bits: int) -> DataFrame:
+def _roots(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, max_bits: int, repeated: bool) -> DataFrame:
     """(node, root) of sets that a link joins to a lesser one, rows being _read() of docs.
 
     The ring's links come first. Sets that meet at an exact key are then compared with the least of them, and only those
     that are not yet in one component with each other, so a group of many near copies costs rows in proportion to its size.
     """
-    nodes = cut(rows.select("node", "fp", "counts").dropDuplicates(["node"]))
+    nodes = cut(rows.select("node", "fp", "size", "counts").dropDuplicates(["node"]))
     prints = nodes.groupBy("fp").agg(F.min("node").alias("node"))
     same = nodes.select("fp", "node").join(prints.withColumnRenamed("node", "least"), "fp").filter("node > least")
     near = links(prints, max_bits).union(same.select(F.col("least").alias("u"), F.col("node").alias("v")))
     least = Window.partitionBy("key").orderBy("node")
     met = cut(jaccard.keyed(docs, text_col).withColumn("least", F.first("node").over(least)).filter("node > least").distinct())
     first = cut(_left(met.select(F.col("least").alias("u"), F.col("node").alias("v")).union(near), nodes))
-    roots = cut(components(_linked(first, docs, rows, id_col, text_col), "u", "v"))
+    roots = cut(components(_linked(first, docs, rows, id_col, text_col, repeated), "u", "v"))
     held = met.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     a, b = (held.select(*(F.col(c).alias(f"{c}_{s}") for c in held.columns)) for s in "ab")
     rest = a.join(b, (F.col("key_a") == F.col("key_b")) & (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")))
     rest = cut(_left(rest.select(F.col("node_a").alias("u"), F.col("node_b").alias("v")), nodes))
-    more = _linked(rest, docs, rows, id_col, text_col)
+    more = _linked(rest, docs, rows, id_col, text_col, repeated)
     return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more), "u", "v")
 
 
@@ -201,15 +205,17 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     an id, or have none, are told apart by their sets.
     """
     rows = cut(_read(docs, id_col, text_col))
-    grouped = rows.select("id", "node").join(_roots(docs, rows, id_col, text_col, max_bits), "node", "left").select("id", "node", F.coalesce("root", "node").alias("root"))
-    best = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("best"))
-    several = rows.groupBy("id").agg((F.count("*") > 1).alias("several"))
-    kept = cut(best.select("best.id", F.col("best.node").alias("node")).join(several, "id", "left"))
-    once, more = kept.filter("id is not null and not several").select(F.col("id").alias(id_col)), kept.filter("id is null or several").select("id", "node")
-    out = docs.join(once, id_col, "left_semi").select(docs.columns)
-    if more.isEmpty():
+    several = cut(rows.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1 or id is null").select("id"))
+    repeated = not several.isEmpty()
+    grouped = rows.select("id", "node").join(_roots(docs, rows, id_col, text_col, max_bits, repeated), "node", "left").select("id", "node", F.coalesce("root", "node").alias("root"))
+    best = cut(grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("best")).select("best.id", "best.node"))
+    # Most rows stay: those that go, and the ids that one row alone can't decide, are the shorter list.
+    gone = cut(rows.select("id").join(best, "id", "left_anti").filter("id is not null").union(several.filter("id is not null")).distinct().withColumnRenamed("id", id_col))
+    out = by_ids(docs.filter(F.col(id_col).isNotNull()), gone, id_col, "left_anti").select(docs.columns)
+    if not repeated:
         return out
-    odd = docs.withColumn("__id", F.col(id_col)).join(more.select(F.col("id").alias("__k")).distinct(), F.col("__id").eqNullSafe(F.col("__k")), "left_semi")
+    more = best.join(several.select(F.col("id").alias("__k")), F.col("id").eqNullSafe(F.col("__k")), "left_semi")
+    odd = docs.withColumn("__id", F.col(id_col)).join(several.select(F.col("id").alias("__k")), F.col("__id").eqNullSafe(F.col("__k")), "left_semi")
     odd = jaccard.named(odd, text_col).join(more.select(F.col("id").alias("__k"), "node"), F.col("__id").eqNullSafe(F.col("__k")) & (F.col("__set") == F.col("node")), "left_semi")
     return out.union(odd.dropDuplicates(["__id", "__set"]).select(docs.columns))
 

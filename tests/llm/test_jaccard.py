@@ -77,8 +77,17 @@ def test_counts_never_part_similar_sets(spark):
         a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
         gone = int(rng.integers(0, n // 6 + 1))
         b = np.unique(np.r_[rng.permutation(a)[gone:], rng.integers(0, 2**64, int(rng.integers(0, n // 6 + 1)), dtype=np.uint64)])
-        rows.append((jaccard.counts(a).tolist(), jaccard.counts(b).tolist()))
+        rows.append((jaccard.counts(a).tolist(), jaccard.counts(b).tolist(), len(a) + len(b)))
         want.append(jaccard.alike(a, b))
-    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, a array<int>, b array<int>")
-    left = {r.k for r in df.filter(jaccard.may_be_alike(F.col("a"), F.col("b"))).collect()}
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, a array<tinyint>, b array<tinyint>, n int")
+    left = {r.k for r in df.filter(jaccard.may_be_alike(F.col("a"), F.col("b"), F.col("n"))).collect()}
     assert {k for k, w in enumerate(want) if w} <= left and 0 < len(left) < len(rows)
+
+
+def test_rows_without_or_with_the_same_id(spark):
+    """(5, A) goes, for (3, A) stays; of rows of one id and text one stays; a null id goes only behind another row."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(3, a), (5, b), (5, a), (7, c), (7, c), (None, b), (None, "some other words"), (None, "some other words"), (8, a + " a40")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id or 0), r.text) for r in simhash.deduplicate(docs).collect())
+    assert got == [(0, "some other words"), (3, a), (5, b), (7, c)]
