@@ -23,7 +23,7 @@ from .common import map_batches, schema_ddl, utf8
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 4, 5
 SEED = 42
 #: Words whose hashes a worker remembers, and lanes of counts().
-WORDS, LANES = 300_000, 256
+WORDS, LANES = 100_000, 256
 #: Rows of one batch of keys, about; a text's own are never split.
 KEY_ROWS = 200_000
 #: Bits of a key: fewer make a smaller shuffle, and more sets that meet by chance.

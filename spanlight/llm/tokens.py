@@ -29,7 +29,7 @@ _MARK = "\0"
 _ODD = "  |\n |[" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITE if c not in " \n") + "\\x{0}]"
 #: Bytes of either half of a worker's memory, about; code points of the longest piece that it keeps; bytes of an
 #: entry besides its own; ids put together at once, about.
-MEMORY, LONGEST, _ENTRY, _AT_ONCE = 110_000_000, 64, 200, 1 << 20
+MEMORY, LONGEST, _ENTRY, _AT_ONCE = 45_000_000, 64, 200, 1 << 20
 
 #: Words, their ids one after the other, and the number of ids of each.
 Encoded = tuple[list[str], np.ndarray, np.ndarray]

@@ -34,7 +34,7 @@ TOXIC_SAMPLE, CLEAN_SAMPLE = 1000, 2000
 SHARE, CLEAN_RATIO = 0.015, 0.05
 THRESHOLD = 0.7
 #: Tokens that a worker remembers.
-MEMORY = 600_000
+MEMORY = 200_000
 #: Tokens, about, whose marginals training holds at once; lines are never split.
 BLOCK = 100_000
 
