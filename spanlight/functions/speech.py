@@ -45,7 +45,12 @@ def weekday_mentions(article: Column) -> Column:
     return F.transform(F.regexp_extract_all(article, F.lit(WEEKDAY_MENTION), F.lit(0)), parse)
 
 
-def is_party_info(info: Column, markers: tuple[str, ...] = ("Bloco", "PT", "PL", "/")) -> Column:
+#: What marks a parenthesis as a party's.
+PARTY_MARKERS = ("/", " - ")
+
+
+def is_party_info(info: Column, markers: tuple[str, ...] = PARTY_MARKERS) -> Column:
+    """Whether a parenthesis names a party; null does not."""
     hit = F.lit(False)
     for m in markers:
         hit = hit | F.contains(info, F.lit(m))
@@ -65,6 +70,13 @@ def resolve_turn_name(raw_name: Column, info: Column, party=is_party_info) -> Co
     return F.when(F.contains(F.coalesce(info, F.lit("")), F.lit(". ")) & party(_tail(info)), F.trim(_before_party(info))).otherwise(raw_name)
 
 
+def turn_name_candidates(raw_name: Column, info: Column, party=is_party_info) -> Column:
+    """The names that a header may stand for: its own, and the parenthesis's (before its party, or whole if it names none)."""
+    resolved, note = resolve_turn_name(raw_name, info, party), F.coalesce(info, F.lit(""))
+    second = F.when(resolved != raw_name, resolved).when((note != "") & ~party(note), note)
+    return F.array_compact(F.array(raw_name, second))
+
+
 def turn_party(raw_name: Column, info: Column, party=is_party_info) -> Column:
     moved = resolve_turn_name(raw_name, info, party) != raw_name
     return F.when(moved, F.trim(_tail(info))).when(party(F.coalesce(info, F.lit(""))), info)

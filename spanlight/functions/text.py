@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented Latin letters and their bases, one to one, so folding keeps offsets.
-ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-BASES = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
+def _decomposed() -> tuple[str, str]:
+    """Letters that decompose into a base and marks, and their bases: one to one, so folding keeps offsets."""
+    pairs = []
+    for k in (*range(0xC0, 0x590), *range(0x1E00, 0x2000)):
+        parts = unicodedata.normalize("NFD", chr(k))
+        if len(parts) > 1 and all(unicodedata.category(c) == "Mn" for c in parts[1:]):
+            pairs.append((chr(k), parts[0]))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+ACCENTED, BASES = _decomposed()
 NON_WORD = r"[^\p{L}\p{N}_]+"
-#: Marks a sentence end, and a kept space behind "(...)"; neither occurs in text.
-END, KEPT = "\x01", "\x02"
 
 
 def let(value: Column, use) -> Column:
@@ -27,18 +35,24 @@ def without_whitespace(text: Column) -> Column:
 
 
 def strip_accents(text: Column) -> Column:
-    return F.translate(text, ACCENTED, BASES)
+    """Bases for accented letters; marks that stand alone go."""
+    return F.regexp_replace(F.translate(text, ACCENTED, BASES), r"\p{Mn}+", "")
 
 
 def fold_text(text: Column) -> Column:
-    """Lower case without accents, of the same length."""
-    return F.lower(strip_accents(text))
+    """Lower case without accents, of the same length (a mark that stands alone stays)."""
+    return F.lower(F.translate(text, ACCENTED, BASES))
 
 
 def normalize_name(name: Column) -> Column:
     return F.upper(normalize_whitespace(strip_accents(name)))
 
 
+def name_tokens(name: Column) -> Column:
+    """The distinct parts of a name between white space, in capitals without accents."""
+    return F.array_distinct(words(normalize_name(name)))
+
+
 def tokens(text: Column) -> Column:
     """Folded word tokens in order."""
     return F.filter(F.split(fold_text(text), NON_WORD), lambda x: x != "")
@@ -67,11 +81,13 @@ def name_contains(a: Column, b: Column) -> Column:
     return (least > 0) & (equal | ((least >= 2) & (common == least)))
 
 
+#: Fixed value: where sentences part.
+SENTENCE_BOUNDARY = r"(?U)(?:(?<=[.!?])|(?<=[.!?]\)))(?<!\(\.\.\.\))\s+"
+
+
 def sentence_parts(text: Column) -> Column:
     """Parts between boundaries: white space behind one of .!? (and a closing parenthesis), but not behind "(...)"."""
-    kept = F.regexp_replace(text, r"\(\.\.\.\)(?U:\s+)", f"(...){KEPT}")
-    cut = F.regexp_replace(kept, r"([.!?]\)?)(?U:\s+)", f"$1{END}")
-    return F.transform(F.filter(F.split(cut, END), lambda x: x != ""), lambda x: F.replace(x, F.lit(KEPT), F.lit(" ")))
+    return F.filter(F.split(text, SENTENCE_BOUNDARY), lambda x: x != "")
 
 
 def word_count(text: Column) -> Column:
@@ -142,7 +158,8 @@ def prefix_pattern(prefix: Column) -> Column:
     return F.concat(F.lit("(?U)"), head, F.lit("(?iu:"), escape(rest), F.lit(r")(?!\w)"))
 
 
-def actor_slug(name: Column, default: str = "actor") -> Column:
+def actor_slug(name: Column, default: str = "ator") -> Column:
+    """Folded letters and digits between hyphens; the default for a name without any."""
     slug = F.regexp_replace(F.regexp_replace(fold_text(name), "[^a-z0-9]+", "-"), "^-+|-+$", "")
     return F.when(slug == "", default).otherwise(slug)
 
@@ -156,12 +173,16 @@ def normalize_label(label: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(fold_text(F.trim(label)), r"[-\s]+", "_"), "_+", "_")
 
 
-def trim_passage(text: Column, limit: int) -> Column:
-    """At most limit characters, cut at a word if one ends past the half, closed by an ellipsis."""
+#: The mark of a cut passage, and what is taken off before it.
+PASSAGE_MARK, PASSAGE_TRAILING = " […]", " ,;:"
+
+
+def trim_passage(text: Column, limit: int = 480, mark: str = PASSAGE_MARK) -> Column:
+    """The first limit characters, cut at their last space if it lies past the half, with a mark; shorter texts stay."""
     head = F.substring(text, 1, limit)
-    at_word = F.regexp_replace(head, r"\s+\S*\z", "")
-    cut = F.when(2 * F.length(at_word) >= limit, at_word).otherwise(head)
-    return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.regexp_replace(cut, r"[\s.,;:!?-]+$", ""), F.lit("…")))
+    at_space = F.length(head) - F.length(F.substring_index(head, " ", -1)) - 1
+    cut = F.when(at_space > limit // 2, F.substr(head, F.lit(1), at_space)).otherwise(head)
+    return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.rtrim(cut, F.lit(PASSAGE_TRAILING)), F.lit(mark)))
 
 
 def character_class(text: Column) -> Column:
@@ -169,11 +190,14 @@ def character_class(text: Column) -> Column:
     return F.when(first.rlike(r"^\p{Lu}"), "upper").when(first.rlike(r"^\p{Ll}"), "lower").otherwise("other")
 
 
-def display_title(title: Column, subject: Column, limit: int = 80) -> Column:
-    """The first line with text, else the subject, cut at a word."""
-    lines = F.transform(F.split(F.coalesce(title, F.lit("")), "\n"), lambda x: F.trim(x))
-    first = F.get(F.filter(lines, lambda x: x != ""), F.lit(0))
-    return trim_passage(F.coalesce(first, subject), limit)
+def display_title(title: Column, subject: Column, limit: int = 120) -> Column:
+    """The title's first line with text, else the subject, white space collapsed; if longer than limit, cut at a space with an ellipsis."""
+    lines = F.transform(F.split(F.coalesce(title, F.lit("")), r"\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"), normalize_whitespace)
+    first = F.coalesce(F.get(F.filter(lines, lambda x: x != ""), F.lit(0)), normalize_whitespace(subject))
+    room = F.substring(first, 1, limit)
+    at_space = F.length(room) - F.length(F.substring_index(room, " ", -1)) - 1
+    cut = F.when(at_space > 0, F.substr(room, F.lit(1), at_space)).otherwise(F.substring(first, 1, limit - 1))
+    return F.when(F.length(first) <= limit, first).otherwise(F.concat(F.rtrim(cut, F.lit(" ,;:-")), F.lit("…")))
 
 
 def pair_digest(a: Column, b: Column) -> Column:
@@ -182,7 +206,8 @@ def pair_digest(a: Column, b: Column) -> Column:
 
 
 def cache_key(identity: Column, *texts: Column) -> Column:
-    return F.sha2(F.concat_ws("\x1e", identity, *texts), 256)
+    """sha256 of an identity and texts around record separators; a null text differs from an empty and from an absent one."""
+    return F.sha2(F.concat_ws("\x1e", identity, *(F.coalesce(t, F.lit("\x00")) for t in texts)), 256)
 
 
 def fingerprint(*columns: Column, size: int = 16) -> Column:
@@ -203,11 +228,11 @@ def leading_sentences(parts: Column, budget: int) -> Column:
 
 
 def repeated_ngram(text: Column, n: int, times: int) -> Column:
-    """Whether some word n-gram occurs so often."""
+    """Whether some word n-gram occurs so often: in sorted order, a gram equals the one times - 1 places on."""
 
     def of(w: Column) -> Column:
-        grams = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
-        hit = F.exists(F.array_distinct(grams), lambda g: F.size(F.filter(grams, lambda x: x == g)) >= times)
+        grams = F.sort_array(F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " ")))
+        hit = let(grams, lambda g: F.exists(F.arrays_zip(g.alias("a"), F.slice(g, times, F.size(g)).alias("b")), lambda x: x["a"].eqNullSafe(x["b"])))
         return F.when(F.size(w) < n, False).otherwise(hit)
 
     return let(tokens(text), of)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 TIERS = ("quote", "semantic_high", "semantic_weak", "no_evidence", "person_not_resolved")
 SUPPORT_TYPES = ("literal", "literal_short", "semantic")
 TRUSTED_WORDS = 6
@@ -29,6 +33,51 @@ def support_type(quote_words: Column, corroborated: Column) -> Column:
     return F.when(quote_words >= TRUSTED_WORDS, "literal").when(corroborated, "literal_short").otherwise("semantic")
 
 
+def best_overlap(queries: DataFrame, q_id: str, q_text: str, texts: DataFrame, t_text: str, block: int = 20_000) -> DataFrame:
+    """(id, score): each query's largest token Jaccard with any text; queries that share no word with one score 0, without texts null.
+
+    Texts stream past the queries' words, so no pair of a query and a text is ever put out: a task gives one number
+    a query. Queries come in blocks of that many, each read by the driver and scanned for once.
+    """
+    spark = queries.sparkSession
+    kind = queries.schema[q_id].dataType.simpleString()
+    rows = queries.select(F.col(q_id).alias("id"), T.token_set(F.col(q_text)).alias("t"))
+    n_blocks = max(1, -(-rows.count() // block))
+    words = texts.select(T.token_set(F.coalesce(t_text, F.lit(""))).alias("t"))
+    numbered = rows.withColumn("b", F.pmod(F.xxhash64("id", "t"), F.lit(n_blocks))) if n_blocks > 1 else rows.withColumn("b", F.lit(0))
+    parts = []
+    for b in range(n_blocks):
+        own = numbered.filter(F.col("b") == b).select("id", "t").collect()
+        shared = spark.sparkContext.broadcast(_postings([r.t or [] for r in own]))
+
+        def run(batches, shared=shared):
+            index, at, owners, size = shared.value
+            best = np.full(len(size), -1.0)
+            for batch in batches:
+                for have in batch.column(0).to_pylist():
+                    hit = [k for w in have if (k := index.get(w)) is not None]
+                    both = np.bincount(np.concatenate([owners[at[k] : at[k + 1]] for k in hit]), minlength=len(size)) if hit else np.zeros(len(size))
+                    union = size + len(have) - both
+                    np.maximum(best, np.divide(both, union, out=np.zeros(len(size)), where=union > 0), out=best)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(best)), pa.int64()), pa.array(best, pa.float64())], ["k", "score"])
+
+        found = words.mapInArrow(run, "k bigint, score double").groupBy("k").agg(F.max("score").alias("score"))
+        ids = spark.createDataFrame([(k, r.id) for k, r in enumerate(own)], f"k bigint, id {kind}")
+        parts.append(ids.join(found, "k", "left").select("id", F.when(F.col("score") >= 0, F.col("score")).alias("score")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+def _postings(sets: list[list[str]]) -> tuple[dict[str, int], np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the words, and of word k the sets that hold it, owners[at[k] : at[k + 1]]; and the size of each set."""
+    index: dict[str, int] = {}
+    pairs = np.array([(index.setdefault(w, len(index)), k) for k, s in enumerate(sets) for w in s], np.int64).reshape(-1, 2)
+    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+    return index, np.searchsorted(pairs[:, 0], np.arange(len(index) + 1)), pairs[:, 1], np.array([len(s) for s in sets], float)
+
+
 def domain_counts(rows: DataFrame, column: str, domain: tuple[str, ...]) -> DataFrame:
     """(value, n) for every value of the domain, zeros too."""
     whole = rows.sparkSession.createDataFrame([(d,) for d in domain], f"{column} string")

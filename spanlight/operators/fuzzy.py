@@ -7,16 +7,19 @@ subsequence by bit-parallel addition. Null texts are empty; two empty texts are
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import re
+import unicodedata
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def lcs_length(a: str, b: str) -> int:
-    masks: dict[str, int] = {}
+def lcs_length(a: Sequence, b: Sequence) -> int:
+    """Of two strings, or of two lists of words."""
+    masks: dict = {}
     for k, c in enumerate(a):
         masks[c] = masks.get(c, 0) | 1 << k
     full = (1 << len(a)) - 1
@@ -27,11 +30,42 @@ def lcs_length(a: str, b: str) -> int:
     return len(a) - state.bit_count()
 
 
-def ratio(a: str, b: str) -> float:
+def ratio(a: Sequence, b: Sequence) -> float:
     return 100.0 if not a and not b else 200.0 * lcs_length(a, b) / (len(a) + len(b))
 
 
-def partial_alignment(needle: str, text: str) -> tuple[float, int, int]:
+def folded_words(text: str) -> tuple[list[str], list[tuple[int, int]]]:
+    """The text's words in lower case without accents, and the half-open span of each."""
+    places = [m.span() for m in re.finditer(r"\w+", text)]
+    plain = lambda x: "".join(c for c in unicodedata.normalize("NFD", x.lower()) if unicodedata.category(c) != "Mn")
+    return [plain(text[a:b]) for a, b in places], places
+
+
+def word_alignment(needle: str, text: str) -> tuple[float, int, int] | None:
+    """(score, start, end) of the run of whole words of text most like the needle's; None if either has no word.
+
+    A text of fewer words than the needle is compared as a whole.
+    """
+    want, _ = folded_words(needle)
+    have, places = folded_words(text)
+    if not want or not have:
+        return None
+    score, first, end = (ratio(want, have), 0, len(have)) if len(have) < len(want) else partial_alignment(want, have)
+    return (score, places[first][0], places[end - 1][1]) if end > first else (score, 0, 0)
+
+
+def best_alignment(needles: list[str], texts: list[str], by_words: bool = False) -> tuple[float, int, int, int, int] | None:
+    """(score, needle, text, start, end) of the best alignment of any needle with any text: the first needle, then text, wins ties."""
+    best = None
+    for i, needle in enumerate(needles):
+        for j, text in enumerate(texts):
+            found = word_alignment(needle, text) if by_words else (partial_alignment(needle, text) if needle and text else None)
+            if found and (best is None or found[0] > best[0]):
+                best = (found[0], i, j, found[1], found[2])
+    return best
+
+
+def partial_alignment(needle: Sequence, text: Sequence) -> tuple[float, int, int]:
     """(score, start, end) of the window of text most like the needle, as long as it or shorter at the text's ends; first wins."""
     n, m = len(needle), len(text)
     if not n or not m:
@@ -97,26 +131,34 @@ def json_objects(text: str) -> tuple[list[str], int]:
     return found, failures
 
 
-def parse_profile(text: str) -> list[tuple[str, int, str]]:
-    """(section, position, claim) of a Markdown profile: # titles, - or * or 1. claims, wrapped lines join the open claim."""
-    section, claims, open_claim = "untitled", [], False
-    for line in text.split("\n"):
+# A section's title, a claim's bullet (indented by one at most), and the section before any title.
+TITLE = re.compile(r"#{1,6}\s+(.+?)\s*#*\s*")
+BULLET = re.compile(r"\s?[-*]\s+(.+?)\s*")
+UNTITLED = "Sem título"
+
+
+def parse_profile(text: str) -> list[tuple[int, str, int, str]]:
+    """(number of the section, its title, position, claim) of a Markdown profile; blank lines do nothing.
+
+    A bullet opens a claim, any other line joins the open one, or opens a section's first. Sections without
+    claims have no row; sections of one title stay apart.
+    """
+    out: list[tuple[int, str, int, str]] = []
+    number, title, position = -1, UNTITLED, 0
+    for line in text.splitlines():
         bare = line.strip()
-        if bare.startswith("#"):
-            section, open_claim = bare.lstrip("#").strip() or "untitled", False
-        elif bare[:2] in ("- ", "* ") or (bare.split(".")[0].isdigit() and bare.partition(".")[2].startswith(" ")):
-            body = bare[2:] if bare[:2] in ("- ", "* ") else bare.partition(".")[2]
-            claims.append([section, body.strip()])
-            open_claim = True
-        elif bare and open_claim:
-            claims[-1][1] += " " + bare
+        if not bare:
+            continue
+        if heading := TITLE.fullmatch(bare):
+            number, title, position = number + 1, heading[1].strip(), 0
+            continue
+        number = max(number, 0)
+        bullet = BULLET.fullmatch(line)
+        if bullet or not position:
+            out.append((number, title, position, bullet[1] if bullet else bare))
+            position += 1
         else:
-            open_claim = False
-    places: dict[str, int] = {}
-    out = []
-    for name, claim in claims:
-        out.append((name, places.setdefault(name, 0), claim))
-        places[name] += 1
+            out[-1] = (*out[-1][:3], f"{out[-1][3]} {bare}")
     return out
 
 
@@ -143,6 +185,21 @@ def align(pairs: DataFrame, needle: str, text: str) -> DataFrame:
     return pairs.withColumn("alignment", udf(needle, text))
 
 
+def align_best(rows: DataFrame, needles: str, texts: str, by_words: bool = False) -> DataFrame:
+    """rows with best {score, needle, text, start_char, end_char} of their arrays of needles and texts, by letters or by words.
+
+    needle and text count from 0; null where no needle meets a text.
+    """
+
+    @F.pandas_udf("score double, needle int, text int, start_char int, end_char int")
+    def udf(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        found = [best_alignment([n or "" for n in (x if x is not None else [])], [t or "" for t in (y if y is not None else [])], by_words) for x, y in zip(a, b)]
+        return pd.DataFrame([f or (None,) * 5 for f in found], columns=["score", "needle", "text", "start_char", "end_char"]).astype({"score": "float64", **{c: "Int32" for c in ("needle", "text", "start_char", "end_char")}})
+
+    found = udf(needles, texts)
+    return rows.withColumn("best", F.when(found["score"].isNotNull(), found))
+
+
 def scan_json(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(key, objects array<string>, failures)."""
     kind = rows.schema[key].dataType.simpleString()
@@ -156,33 +213,47 @@ def scan_json(rows: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def profile_claims(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, section, position, claim) of every claim; texts without claims give no row."""
-    udf = F.udf(parse_profile, "array<struct<section:string,position:int,claim:string>>", useArrow=True)
-    return rows.select(key, F.inline(udf(F.coalesce(text, F.lit("")))))
+    """(key, number, section, position, claim) of every claim; texts without claims give no row."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [parse_profile(t or "") for t in batch.column(1).to_pylist()]
+            at = pa.array([k for k, claims in enumerate(found) for _ in claims], pa.int64())
+            flat = [c for claims in found for c in claims]
+            columns = [pa.array([c[i] for c in flat], t) for i, t in enumerate((pa.int32(), pa.string(), pa.int32(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), *columns], [key, "number", "section", "position", "claim"])
+
+    return rows.select(key, text).mapInArrow(run, f"{key} {kind}, number int, section string, position int, claim string")
 
 
 def greedy_batches(rows: DataFrame, key: str, length: str, budget: int, most: int = 1 << 30) -> DataFrame:
-    """(key, batch): longest first, a batch closes when its padded size or its number would pass the bound.
+    """(key, length, batch): longest first, ties by key; a batch closes when its padded size or its number would pass the bound.
 
-    Rows are ranged by length; each task deals its own batches, so no batch needs another task's rows. A row longer
-    than the budget has a batch of its own.
+    One greedy pass over all rows. Where it stands depends on the lengths alone, so the driver walks the table of distinct
+    lengths (their number is bounded by the longest row) and each row finds its batch from its place among its length's.
+    A row longer than the budget has a batch of its own.
     """
-    kind = rows.schema[key].dataType.simpleString()
-    n = F.coalesce(F.col(length), F.lit(0)).cast("bigint").alias("n")
-    ordered = rows.select(F.col(key).alias("key"), n).repartitionByRange(F.desc("n")).sortWithinPartitions(F.desc("n"), "key")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, number, count, widest = TaskContext.get().partitionId(), 0, 0, 0
-        for batch in batches:
-            out = []
-            for size in batch.column(1).to_pylist():
-                widest = widest if count else size
-                if count and (widest * (count + 1) > budget or count == most):
-                    number, count, widest = number + 1, 0, size
-                count += 1
-                out.append(f"{part}-{number}")
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], [key, "length", "batch"])
-
-    return ordered.mapInArrow(run, f"{key} {kind}, length bigint, batch string")
+    n = F.coalesce(F.col(length), F.lit(0)).cast("bigint").alias("length")
+    sized = rows.select(F.col(key).alias(key), n)
+    runs: list[tuple[int, int, int, int, int]] = []  # length, place of its first row, batch there, rows to a batch, of which one is begun
+    number, count, widest = 0, 0, 0
+    for size, total in sized.groupBy("length").agg(F.count("*").alias("n")).orderBy(F.desc("length")).toLocalIterator():
+        at = 0
+        if count:
+            room = min(most, budget // widest if widest else most) - count
+            taken = max(0, min(room, total))
+            if taken:
+                runs.append((size, 0, number, taken, 0))
+                at, count = taken, count + taken
+            if at < total:
+                number, count = number + 1, 0
+        if at < total:
+            whole = max(1, min(most, budget // size if size else most))
+            runs.append((size, at, number, whole, 1))
+            left = total - at
+            number, count, widest = number + (left - 1) // whole, (left - 1) % whole + 1, size
+    steps = rows.sparkSession.createDataFrame(runs, "length bigint, at bigint, first bigint, whole bigint, own int")
+    placed = sized.withColumn("k", F.row_number().over(Window.partitionBy("length").orderBy(key)) - 1)
+    found = placed.join(steps, "length").filter("k >= at and (own = 1 or k < whole)")
+    return found.select(key, "length", (F.col("first") + F.when(F.col("own") == 1, F.floor((F.col("k") - F.col("at")) / F.col("whole"))).otherwise(0)).alias("batch"))

@@ -6,10 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.speech import turn_name_candidates
 
 
 def with_tokens(names: DataFrame, id_col: str, name_col: str) -> DataFrame:
-    return names.select(F.col(id_col).alias("id"), T.token_set(F.col(name_col)).alias("t")).filter("size(t) > 0")
+    return names.select(F.col(id_col).alias("id"), T.name_tokens(F.col(name_col)).alias("t")).filter("size(t) > 0")
+
+
+def resolve_people(people: DataFrame, turns: DataFrame) -> DataFrame:
+    """(hearing, person, turn) of the turns that are a person's; people: (hearing, person, name), turns: (hearing, turn, raw_name, info).
+
+    A turn is theirs if one of its name candidates matches: equal parts, or one name's inside the other's with two
+    or more on both sides. A person of one part whom none matches takes all turns of the only speaker whose
+    name holds that part. Names without parts are nobody's. Everything joins on the hearing and a part of the name.
+    """
+    who = people.select("hearing", "person", T.name_tokens(F.col("name")).alias("p"))
+    named = turns.select("hearing", "turn", F.explode(turn_name_candidates(F.col("raw_name"), F.col("info"))).alias("candidate"))
+    said = named.select("hearing", "turn", T.normalize_name(F.col("candidate")).alias("speaker"), T.name_tokens(F.col("candidate")).alias("c"))
+    met = who.select("hearing", "person", "p", F.explode("p").alias("part")).join(said.withColumn("part", F.explode("c")), ["hearing", "part"])
+    direct = met.filter(T.name_contains(F.col("p"), F.col("c"))).select("hearing", "person", "turn").distinct()
+    alone = met.filter("size(p) = 1").join(direct, ["hearing", "person"], "left_anti")
+    only = alone.groupBy("hearing", "person").agg(F.countDistinct("speaker").alias("n"), F.min("speaker").alias("speaker")).filter("n = 1")
+    return direct.union(only.join(said, ["hearing", "speaker"]).select("hearing", "person", "turn").distinct())
 
 
 def containing(a: DataFrame, b: DataFrame) -> DataFrame:

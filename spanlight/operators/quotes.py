@@ -12,6 +12,8 @@ TRUSTED_WORDS = 6
 MIN_PREFIX_CHARS = 6
 MAX_SPAN_RATIO = 2.0
 SUFFIXES = (6, 4, 3)
+#: First words of prefixes up to which they filter the texts' n-grams; beyond, all n-grams are put out.
+FIRST_WORDS = 10_000
 
 
 def prefixes(quotes: DataFrame, id_col: str, text_col: str, ladder: tuple[int, ...] = LADDER) -> DataFrame:
@@ -25,17 +27,21 @@ def prefixes(quotes: DataFrame, id_col: str, text_col: str, ladder: tuple[int, .
 def occurrences(quotes: DataFrame, q_id: str, q_text: str, texts: DataFrame, t_id: str, t_text: str, ladder: tuple[int, ...] = LADDER) -> DataFrame:
     """(id, words, text_id, position) wherever a prefix occurs in a text, by folded words.
 
-    An equi join on word n-grams: each text gives one row for each word and step, filtered by the first word before
-    the n-gram is built, so the work grows with the words of the texts and not with the pairs.
+    An equi join on word n-grams, which are built inside a text's row, so no row carries its whole text along. As
+    long as there are few of them, only n-grams that begin with a prefix's first word are put out.
     """
     want = prefixes(quotes, q_id, q_text, ladder)
-    first = want.select(F.substring_index("prefix", " ", 1).alias("w0")).distinct()
+    first = [r.w0 for r in want.select(F.substring_index("prefix", " ", 1).alias("w0")).distinct().limit(FIRST_WORDS + 1).collect()]
+    steps = [r.words for r in want.select("words").distinct().collect()]  # at most as many as the longest step
     toks = texts.select(F.col(t_id).alias("text_id"), T.tokens(F.col(t_text)).alias("t"))
-    at = toks.select("text_id", "t", F.posexplode("t").alias("position", "w0")).join(first, "w0", "left_semi")
-    steps = F.broadcast(want.select(F.col("words").alias("n")).distinct())  # at most as many as the longest step
-    grams = at.select("text_id", "position", "t").crossJoin(steps).filter("position + n <= size(t)")
-    grams = grams.select("text_id", "position", F.col("n").alias("words"), F.expr("array_join(slice(t, position + 1, n), ' ')").alias("prefix"))
-    return want.join(grams, ["words", "prefix"]).select("id", "words", "text_id", "position")
+    places = F.transform("t", lambda w, i: F.when(w.isin(first), i) if len(first) <= FIRST_WORDS else i)
+    size = F.array(*map(F.lit, steps)).cast("array<int>")
+
+    def gram(i, n):
+        return F.struct(i.alias("position"), n.alias("words"), F.array_join(F.slice("t", i + 1, n), " ").alias("prefix"))
+
+    grams = F.flatten(F.transform(F.array_compact(places), lambda i: F.transform(F.filter(size, lambda n: i + n <= F.size("t")), lambda n: gram(i, n))))
+    return want.join(toks.select("text_id", F.inline(grams)), ["words", "prefix"]).select("id", "words", "text_id", "position")
 
 
 def first_match(found: DataFrame) -> DataFrame:

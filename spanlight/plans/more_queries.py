@@ -22,11 +22,14 @@ def br_timestamp_parse(spark, d):
     return a.select("o_orderkey", show(speech.published_at(c)).alias("published"), show(speech.updated_at(c)).alias("updated"), F.size(speech.weekday_mentions(c)).alias("n_mentions"))
 
 
-@query("SELECT doc_id, md5(CASE WHEN length(text) - 60 <= 20 THEN substr(text, 61) ELSE regexp_replace(substr(text, 61, 20), '\\s+\\S*$', '') || '…' END) AS after_md5, md5(CASE WHEN least(40, length(text)) <= 20 THEN substr(text, 1, 40) ELSE '…' || regexp_replace(substr(substr(text, 1, 40), -20), '^\\S*\\s+', '') END) AS before_md5 FROM documents WHERE length(text) >= 60")
+@query("""WITH s AS (SELECT doc_id, text, length(text) // 3 AS a, 2 * (length(text) // 3) AS b FROM documents)
+SELECT doc_id, md5(CASE WHEN length(text) - b <= 20 THEN substr(text, b + 1) ELSE regexp_replace(substr(text, b + 1, 20), '\\s+\\S*$', '') || '…' END) AS after_md5,
+  md5(CASE WHEN a <= 20 THEN substr(text, 1, a) ELSE '…' || regexp_replace(substr(text, a - 19, 20), '^\\S*\\s+', '') END) AS before_md5 FROM s""")
 def context_windows(spark, d):
-    """Twenty characters on each side of a passage."""
-    docs = table(spark, d, "documents").filter("length(text) >= 60")
-    w = passages.context_window(F.col("text"), F.lit(40), F.lit(60), 20)
+    """Twenty characters on each side of every text's middle third."""
+    docs = table(spark, d, "documents")
+    third = F.floor(F.length("text") / 3).cast("int")
+    w = passages.context_window(F.col("text"), third, 2 * third, 20)
     return docs.select("doc_id", w.alias("w")).select("doc_id", F.md5("w.after").alias("after_md5"), F.md5("w.before").alias("before_md5"))
 
 

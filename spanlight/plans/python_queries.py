@@ -5,20 +5,25 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
+from ..functions import text as T
 from ..operators import fuzzy, learning, segment
 from .registry import query, table
 
 
-def _neighbours(spark, d):
-    t = table(spark, d, "conversations").select("conv_id", "turn", "text")
-    n = t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.substring_index("text", " ", 6).alias("needle"))
-    return t.join(n, ["conv_id", "turn"])
+@query()
+def fuzzy_alignment(spark, d):
+    """Where a part's name is most like its type's and its brand's words, by letters."""
+    p = table(spark, d, "part").withColumn("text", F.concat_ws(" ", "p_type", "p_brand"))
+    return fuzzy.align(p, "p_name", "text").select("p_partkey", "alignment.*")
 
 
 @query()
-def fuzzy_alignment(spark, d):
-    """Where a turn is most like the first six words of the next one."""
-    return fuzzy.align(_neighbours(spark, d), "needle", "text").select("conv_id", "turn", "alignment.*")
+def best_word_alignment(spark, d):
+    """Of each conversation: which sentence of a user is most like a turn of the assistant, by whole words."""
+    c = table(spark, d, "conversations")
+    said = lambda role: F.transform(F.sort_array(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "text")))), lambda x: x["text"])
+    both = c.groupBy("conv_id").agg(F.flatten(F.transform(said("user"), T.sentences)).alias("needles"), said("assistant").alias("texts"))
+    return fuzzy.align_best(both, "needles", "texts", by_words=True).select("conv_id", "best.*")
 
 
 @query()
@@ -33,13 +38,14 @@ def json_objects_scan(spark, d):
 
 
 @query("""WITH l AS (SELECT conv_id, turn, role, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS claim FROM conversations)
-SELECT conv_id, role AS section, (row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1)::INTEGER AS position, md5(claim) AS claim_md5 FROM l""")
+SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS number, role AS section, 0 AS position, md5(claim) AS claim_md5 FROM l""")
 def profile_claims(spark, d):
     """Claims of Markdown profiles that are put together from the conversations: a section a turn, a wrapped bullet in it."""
     line = F.concat(F.lit("# "), "role", F.lit("\n- "), F.regexp_replace("text", r"\n", "\n  "))
     c = table(spark, d, "conversations").withColumn("line", line)
     whole = c.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]), "\n").alias("profile"))
-    return fuzzy.profile_claims(whole, "conv_id", "profile").select("conv_id", "section", "position", F.md5("claim").alias("claim_md5"))
+    claims = fuzzy.profile_claims(whole, "conv_id", "profile")
+    return claims.select("conv_id", "number", "section", "position", F.md5(T.normalize_whitespace(F.col("claim"))).alias("claim_md5"))
 
 
 @query()

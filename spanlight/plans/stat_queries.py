@@ -316,10 +316,11 @@ def forbidden_token_hits(spark, d):
     return integrity.forbidden_tokens(table(spark, d, "documents"), "doc_id", ["text", "source"], ["idiot", "license", "src1"])
 
 
-@query("SELECT lang, reported, recomputed FROM (SELECT lang, count(*) AS reported FROM documents GROUP BY lang) a FULL JOIN (SELECT lang, count(*) AS recomputed FROM documents WHERE doc_id % 3 <> 0 GROUP BY lang) b USING (lang) WHERE reported IS DISTINCT FROM recomputed")
+@query("SELECT lang, reported, recomputed FROM (SELECT lang, count(*) AS reported FROM documents GROUP BY lang) a FULL JOIN (SELECT lang, count(*) AS recomputed FROM (SELECT CASE WHEN doc_id % 3 = 0 THEN 'none' ELSE lang END AS lang FROM documents) GROUP BY lang) b USING (lang) WHERE reported IS DISTINCT FROM recomputed")
 def counter_check(spark, d):
     docs = table(spark, d, "documents")
-    one, two = (x.groupBy("lang").agg(F.count("*").alias("n")) for x in (docs, docs.filter("doc_id % 3 <> 0")))
+    other = docs.withColumn("lang", F.when(F.col("doc_id") % 3 == 0, "none").otherwise(F.col("lang")))
+    one, two = (x.groupBy("lang").agg(F.count("*").alias("n")) for x in (docs, other))
     return integrity.counter_differences(one, two, "lang", "n")
 
 

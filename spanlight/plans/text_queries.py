@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import speech
 from ..functions import stats as S
 from ..functions import text as T
 from ..operators import evidence as E
@@ -143,19 +144,20 @@ def longest_common_runs(spark, d):
     return quotes.longest_common_run(t.join(n, ["conv_id", "turn"]), "text", "next_text").select("conv_id", "turn", "run")
 
 
-_NAMES = f"a AS (SELECT p_partkey AS id, list_distinct({TOKENS.format('p_name')}) AS t FROM part), b AS (SELECT p_partkey AS id, list_distinct({TOKENS.format('p_type')}) AS t FROM part)"
+NAME_TOKENS = r"list_filter(string_split_regex(upper(strip_accents({})), '\s+'), lambda x: x <> '')"
+_NAMES = f"a AS (SELECT p_partkey AS id, list_distinct({NAME_TOKENS.format('p_name')}) AS t FROM part), b AS (SELECT p_partkey AS id, list_distinct({NAME_TOKENS.format('p_type')}) AS t FROM part)"
 
 
 @query(f"WITH {_NAMES} SELECT a.id AS a, count(*) AS n FROM a JOIN (SELECT DISTINCT t FROM b) b ON (list_has_all(a.t, b.t) OR list_has_all(b.t, a.t)) AND (len(a.t) = len(b.t) OR least(len(a.t), len(b.t)) >= 2) AND len(a.t) > 0 GROUP BY a.id")
 def name_subset_pairs(spark, d):
     """How many kinds of part hold a part's name, or are held by it."""
     p = table(spark, d, "part")
-    kinds = p.select(F.sort_array(T.token_set(F.col("p_type"))).alias("t")).distinct().select(F.concat_ws(" ", "t").alias("id"), "t").filter("size(t) > 0")
+    kinds = p.select(F.sort_array(T.name_tokens(F.col("p_type"))).alias("t")).distinct().select(F.concat_ws(" ", "t").alias("id"), "t").filter("size(t) > 0")
     return names.containing(names.with_tokens(p, "p_partkey", "p_name"), kinds).groupBy("a").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH one AS (SELECT n_nationkey AS a, {TOKENS.format('n_name')}[1] AS token FROM nation WHERE len({TOKENS.format('n_name')}) = 1),
-held AS (SELECT c_custkey AS b, unnest(list_distinct({TOKENS.format("c_name || ' ' || c_mktsegment")})) AS token FROM customer),
+@query(f"""WITH one AS (SELECT n_nationkey AS a, {NAME_TOKENS.format('n_name')}[1] AS token FROM nation WHERE len({NAME_TOKENS.format('n_name')}) = 1),
+held AS (SELECT c_custkey AS b, unnest(list_distinct({NAME_TOKENS.format("c_name || ' ' || c_mktsegment")})) AS token FROM customer),
 f AS (SELECT a, count(DISTINCT b) AS n, min(b) AS b FROM one JOIN held USING (token) GROUP BY a) SELECT a, b FROM f WHERE n = 1""")
 def name_single_token_resolution(spark, d):
     """Nations whose one-word name is held by exactly one customer."""
@@ -164,11 +166,42 @@ def name_single_token_resolution(spark, d):
     return names.resolve_single_tokens(one, names.with_tokens(held, "c_custkey", "name"))
 
 
-@query(f"""WITH t AS (SELECT n_nationkey AS id, list_distinct({TOKENS.format('n_name')}) AS t FROM nation) SELECT a.id AS a, b.id AS b FROM t a JOIN t b ON a.id < b.id AND len(a.t) > 0 AND len(b.t) > 0 AND (list_has_all(a.t, b.t) OR list_has_all(b.t, a.t))""")
+@query(f"""WITH t AS (SELECT n_nationkey AS id, list_distinct({NAME_TOKENS.format('n_name')}) AS t FROM nation) SELECT a.id AS a, b.id AS b FROM t a JOIN t b ON a.id < b.id AND len(a.t) > 0 AND len(b.t) > 0 AND (list_has_all(a.t, b.t) OR list_has_all(b.t, a.t))""")
 def ambiguous_names(spark, d):
     return names.ambiguous_pairs(names.with_tokens(table(spark, d, "nation"), "n_nationkey", "n_name"))
 
 
+_HEADERS = "SELECT c_custkey, c_name, c_mktsegment, CASE c_custkey % 4 WHEN 0 THEN c_name || '. ' || c_mktsegment || '/SP' WHEN 1 THEN c_mktsegment || ' - SP' WHEN 2 THEN c_name || '. Dr' END AS info FROM customer"
+
+
+@query(f"""WITH t AS ({_HEADERS}) SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'PRESIDENTE|' || c_name WHEN 2 THEN 'PRESIDENTE|' || info ELSE 'PRESIDENTE' END AS names,
+CASE c_custkey % 4 WHEN 0 THEN c_mktsegment || '/SP' WHEN 1 THEN info END AS party FROM t""")
+def turn_names(spark, d):
+    """The names that a chair's header may stand for, and its party, by the parenthesis behind it."""
+    kind, name, segment_ = F.col("c_custkey") % 4, F.col("c_name"), F.col("c_mktsegment")
+    info = F.when(kind == 0, F.concat(name, F.lit(". "), segment_, F.lit("/SP"))).when(kind == 1, F.concat(segment_, F.lit(" - SP"))).when(kind == 2, F.concat(name, F.lit(". Dr")))
+    t = table(spark, d, "customer").select("c_custkey", F.lit("PRESIDENTE").alias("raw_name"), info.alias("info"))
+    raw, note = F.col("raw_name"), F.col("info")
+    return t.select("c_custkey", F.array_join(speech.turn_name_candidates(raw, note), "|").alias("names"), speech.turn_party(raw, note).alias("party"))
+
+
+@query(r"""WITH h AS (SELECT s_suppkey, s_nationkey AS hearing, upper(s_name) AS name FROM supplier),
+t AS (SELECT s_suppkey AS turn, hearing, name || ' ' || hearing AS speaker FROM h)
+SELECT h.hearing, h.s_suppkey AS person, t.turn FROM h JOIN t ON h.hearing = t.hearing AND list_contains(string_split_regex(t.speaker, '\s+'), h.name)""")
+def people_turns(spark, d):
+    """Turns of people by name: one-part names go to the only speaker who holds the part."""
+    s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("hearing"), "s_suppkey", F.col("s_name").alias("name"))
+    people = s.select("hearing", F.col("s_suppkey").alias("person"), "name")
+    turns = s.select("hearing", F.col("s_suppkey").alias("turn"), F.concat_ws(" ", "name", F.col("hearing").cast("string")).alias("raw_name"), F.lit(None).cast("string").alias("info"))
+    return names.resolve_people(people, turns)
+
+
+@query("""WITH h AS (SELECT doc_id, text, substr(text, 1, 480) AS h FROM documents), b AS (SELECT *, length(h) - length(regexp_extract(h, '[^ ]*$')) - 1 AS b FROM h)
+SELECT doc_id, md5(CASE WHEN length(text) <= 480 THEN text ELSE rtrim(CASE WHEN b > 240 THEN substr(h, 1, b) ELSE h END, ' ,;:') || ' […]' END) AS passage_md5 FROM b""")
+def trimmed_passages(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(T.trim_passage(F.col("text"))).alias("passage_md5"))
+
+
 # dense retrieval: the stated queries are the vectors whose id is divisible by 50
 _DENSE = """s AS (SELECT q.vec_id AS query, q.label AS label, u.vec_id AS unit, u.label AS unit_label,
   list_sum(list_transform(list_zip(q.embedding, u.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) AS cosine
@@ -259,7 +292,7 @@ def rrf_fusion(spark, d):
 
 
 _TIERS = f"""WITH {_PREFIX}, b1 AS (SELECT id, max(words) AS words FROM found GROUP BY id), x AS (SELECT item_id AS id, list_distinct({TOKENS.format('text')}) AS q FROM benchmark),
-y AS (SELECT doc_id, list_distinct({TOKENS.format('text')}) AS t FROM documents WHERE source = 'src1'),
+y AS (SELECT doc_id, list_distinct({TOKENS.format('text')}) AS t FROM documents),
 sc AS (SELECT id, max(round(len(list_intersect(q, t)) / len(list_distinct(list_concat(q, t))), 9)) AS score FROM x, y GROUP BY id)
 SELECT x.id, CASE WHEN x.id % 11 = 0 THEN 'person_not_resolved' WHEN coalesce(words, 0) >= 6 THEN 'quote' WHEN score IS NULL THEN 'no_evidence' WHEN score >= 0.05 THEN 'semantic_high' ELSE 'semantic_weak' END AS tier FROM x LEFT JOIN b1 USING (id) LEFT JOIN sc USING (id)"""
 
@@ -267,20 +300,14 @@ SELECT x.id, CASE WHEN x.id % 11 = 0 THEN 'person_not_resolved' WHEN coalesce(wo
 def _tiers(spark, d):
     b = table(spark, d, "benchmark")
     words = _found(spark, d).groupBy("id").agg(F.max("words").alias("words"))
-    q = b.select(F.col("item_id").alias("id"), F.explode(T.token_set(F.col("text"))).alias("term"), F.size(T.token_set(F.col("text"))).alias("nq"))
-    docs = table(spark, d, "documents").filter("source = 'src1'")
-    t = docs.select("doc_id", F.explode(T.token_set(F.col("text"))).alias("term"), F.size(T.token_set(F.col("text"))).alias("nt"))
-    shared = q.join(t, "term").groupBy("id", "doc_id", "nq", "nt").agg(F.count("*").alias("c"))
-    score = shared.groupBy("id").agg(F.max(F.round(F.col("c") / (F.col("nq") + F.col("nt") - F.col("c")), 9)).alias("score"))
-    some = F.broadcast(docs.agg((F.count("*") > 0).alias("some")))
-    rows = b.select(F.col("item_id").alias("id")).join(words, "id", "left").join(score, "id", "left").crossJoin(some)
-    score_or_0 = F.when(F.col("some"), F.coalesce("score", F.lit(0.0)))
-    return rows.select("id", E.tier(F.col("id") % 11 != 0, F.col("some"), F.col("words"), score_or_0, 0.05).alias("tier"))
+    score = E.best_overlap(b, "item_id", "text", table(spark, d, "documents"), "text").withColumn("score", F.round("score", 9))
+    rows = b.select(F.col("item_id").alias("id")).join(words, "id", "left").join(score, "id", "left")
+    return rows.select("id", E.tier(F.col("id") % 11 != 0, F.col("score").isNotNull(), F.col("words"), F.col("score"), 0.05).alias("tier"))
 
 
 @query(_TIERS)
 def evidence_tiers(spark, d):
-    """Each passage's tier: a trusted prefix in any document, else its best word overlap with one source."""
+    """Each passage's tier: a trusted prefix in any document, else its best word overlap with one."""
     return _tiers(spark, d)
 
 
@@ -289,15 +316,16 @@ def evidence_coverage(spark, d):
     return E.domain_counts(_tiers(spark, d), "tier", E.TIERS)
 
 
-@query("""SELECT doc_id, CASE WHEN n2 IS NULL THEN 'missing' WHEN n_chars IS NULL THEN 'extra' ELSE 'changed' END AS state
-FROM (SELECT doc_id, lang, n_chars FROM documents WHERE doc_id % 7 <> 0)
-FULL JOIN (SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN lang END AS lang2, n_chars AS n2 FROM documents WHERE doc_id % 9 <> 0) USING (doc_id)
+@query("""SELECT doc_id, CASE WHEN b.n2 IS NULL THEN 'missing' WHEN a.n_chars IS NULL THEN 'extra' ELSE 'changed' END AS state
+FROM (SELECT doc_id, lang, n_chars FROM documents) a
+FULL JOIN (SELECT CASE WHEN doc_id % 9 = 0 THEN -1 - doc_id ELSE doc_id END AS doc_id, CASE WHEN doc_id % 5 <> 0 THEN lang END AS lang2, n_chars AS n2 FROM documents) b USING (doc_id)
 WHERE lang IS DISTINCT FROM lang2 OR n_chars IS DISTINCT FROM n2""")
 def evidence_run_diff(spark, d):
-    """Rows missing, extra or changed between two derived runs."""
+    """Rows missing, extra or changed between the documents and a run of all of them, with some renamed and some changed."""
     docs = table(spark, d, "documents").select("doc_id", "lang", "n_chars")
-    new = docs.filter("doc_id % 9 <> 0").withColumn("lang", F.when(F.col("doc_id") % 5 != 0, F.col("lang")))
-    return E.run_diff(docs.filter("doc_id % 7 <> 0"), new, "doc_id", ["lang", "n_chars"])
+    new = docs.withColumn("lang", F.when(F.col("doc_id") % 5 != 0, F.col("lang")))
+    new = new.withColumn("doc_id", F.when(F.col("doc_id") % 9 == 0, -1 - F.col("doc_id")).otherwise(F.col("doc_id")))
+    return E.run_diff(docs, new, "doc_id", ["lang", "n_chars"])
 
 
 @query(f"""WITH s AS ({ROWS}), x AS (SELECT doc_id, position, sentence, coalesce(sum(length(sentence) + 1) OVER (PARTITION BY doc_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM s),

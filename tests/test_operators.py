@@ -41,10 +41,15 @@ def test_text_scalars(spark):
     assert one(spark, T.sentences(c), t="Too short. This one has four words.") == ["This one has four words."]
     assert one(spark, T.quoted_spans(c), t='He said "this is long enough" and "short" and “curly  quotes \'or another in\' here”.') == ["this is long enough", "curly quotes 'or another in' here", "or another in"]
     assert one(spark, T.mask_quotes(c), t='a "quoted" b') == "a b"
-    assert one(spark, T.actor_slug(c), t="Élan & Co.") == "elan-co" and one(spark, T.actor_slug(c), t="!!") == "actor"
+    assert one(spark, T.actor_slug(c), t="Élan & Co.") == "elan-co" and one(spark, T.actor_slug(c), t="!!") == "ator"
     assert one(spark, T.clean_role(c), t="Deputy (PT-SP) of the house") == "Deputy of the house"
     assert one(spark, T.normalize_label(c), t=" Não-Inferível  x") == "nao_inferivel_x"
-    assert one(spark, T.trim_passage(c, 12), t="alpha beta, gamma delta") == "alpha beta…"
+    assert one(spark, T.trim_passage(c, 12), t="alpha beta, gamma delta") == "alpha beta […]"
+    assert one(spark, T.trim_passage(c, 12), t="alphabetagammadelta x") == "alphabetagam […]" and one(spark, T.trim_passage(c, 12), t="a bcdefghijklmno") == "a bcdefghijk […]"
+    assert one(spark, T.strip_accents(c), t="Łódź Ā Ệ e\u0301") == "Łodz A E e" and one(spark, T.name_tokens(c), t=" José  d'Ávila José") == ["JOSE", "D'AVILA"]
+    assert one(spark, T.sentence_parts(c), t="five.\x01six. seven") == ["five.\x01six.", "seven"]
+    nothing = F.lit(None).cast("string")
+    assert len({one(spark, T.cache_key(F.lit("m"), *k), t="a") for k in ((c, nothing, c), (c, c), (c, F.lit(""), c))}) == 3
     assert one(spark, T.display_title(c, F.lit("subject")), t="\n \n First line\nsecond") == "First line"
     assert one(spark, T.repeated_ngram(c, 2, 3), t="a b a b a b") is True and one(spark, T.repeated_ngram(c, 2, 4), t="a b a b a b") is False
     assert one(spark, T.leading_sentences(T.sentence_parts(c), 5), t="One two three. Four five. Six.") == ["One two three.", "Four five."]
@@ -159,12 +164,59 @@ def test_fuzzy(spark):
     assert fuzzy.token_set_ratio("a b c", "c a b") == 100.0 and fuzzy.token_set_ratio("", "a") == 0.0
     assert math.isclose(fuzzy.jaro_winkler("MARTHA", "MARHTA"), 0.9611, abs_tol=1e-4) and math.isclose(fuzzy.jaro_winkler("DIXON", "DICKSONX"), 0.8133, abs_tol=1e-4)
     assert fuzzy.json_objects('x {"a": {"b": 1}} {bad {"c": 2}') == (['{"a": {"b": 1}}', '{"c": 2}'], 1)
-    assert fuzzy.parse_profile("- first\n  wrapped\n\n# T\ntext\n1. one\n* two\n# Empty") == [("untitled", 0, "first wrapped"), ("T", 0, "one"), ("T", 1, "two")]
+    claims = fuzzy.parse_profile("- first\n  wrapped\n\n# T ##\ntext\n1. one\n* two\n  - nested\n# Empty\n## T\n-x\n- y ")
+    assert claims == [(0, "Sem título", 0, "first wrapped"), (1, "T", 0, "text 1. one"), (1, "T", 1, "two - nested"), (3, "T", 0, "-x"), (3, "T", 1, "y")]
     b = fuzzy.greedy_batches(spark.createDataFrame([(k, k % 13) for k in range(200)] + [(900, 5000)], "id long, n long"), "id", "n", 60, 8).collect()
     sizes = {}
     for r in b:
         sizes.setdefault(r.batch, []).append(r.length)
     assert len(b) == 201 and all(len(s) <= 8 and (max(s) * len(s) <= 60 or len(s) == 1) for s in sizes.values())
+    for seed in range(4):
+        lengths = [rng.choice([0, 1, 2, 3, 7, 20, 90]) for _ in range(120)]
+        want, now = [], []
+        for n in sorted(lengths, reverse=True):
+            if now and (len(now) >= 5 or (len(now) + 1) * now[0] > 40):
+                want.append(now)
+                now = []
+            now.append(n)
+        want.append(now)
+        found: dict = {}
+        for r in fuzzy.greedy_batches(spark.createDataFrame(list(enumerate(lengths)), "id long, n long"), "id", "n", 40, 5).collect():
+            found.setdefault(r.batch, []).append(r.length)
+        assert [sorted(found[k], reverse=True) for k in range(len(found))] == want
+    assert fuzzy.greedy_batches(spark.createDataFrame([], "id long, n long"), "id", "n", 40, 5).count() == 0
+
+
+def test_word_alignment(spark):
+    assert fuzzy.word_alignment("o gato preto", "Vi O GATO  prêto, ali") == (100.0, 3, 16)
+    assert fuzzy.word_alignment("one two three", "two") == (50.0, 0, 3) and fuzzy.word_alignment("", "a") is None and fuzzy.word_alignment("a", "!!") is None
+    assert fuzzy.best_alignment(["x y", "a b"], ["q", "a b", "x y"], True) == (100.0, 0, 2, 0, 3)
+    assert fuzzy.best_alignment([], ["a"]) is None and fuzzy.best_alignment(["ab"], ["", "zab"]) == (100.0, 0, 1, 1, 3)
+    rows = spark.createDataFrame([(1, ["a b"], ["c", "a b c"]), (2, [], ["x"]), (3, None, None)], "k int, n array<string>, t array<string>")
+    got = {r.k: r.best and tuple(r.best) for r in fuzzy.align_best(rows, "n", "t", by_words=True).collect()}
+    assert got == {1: (100.0, 0, 1, 0, 3), 2: None, 3: None}
+
+
+def test_people_and_their_turns(spark):
+    turns = [(1, 0, "PRESIDENTE", "Ana Maria Silva. Bloco/PT - SP"), (1, 1, "BETO RAY", None), (1, 2, "X", "José Ávila"), (1, 3, "Y", "PT - SP"), (2, 0, "CARLOS LIMA", None), (2, 1, "CARLOS REIS", None)]
+    people = [(1, 0, "Ana Silva"), (1, 1, "beto"), (1, 2, "Jose  Avila"), (1, 3, "PT"), (2, 0, "Carlos"), (2, 1, ""), (2, 2, "Carlos Lima Neto"), (3, 0, "Ana")]
+    t, p = spark.createDataFrame(turns, "hearing int, turn int, raw_name string, info string"), spark.createDataFrame(people, "hearing int, person int, name string")
+    assert sorted(map(tuple, names.resolve_people(p, t).collect())) == [(1, 0, 0), (1, 1, 1), (1, 2, 2), (2, 2, 0)]
+
+
+def test_best_overlap(spark):
+    from spanlight.operators import evidence
+
+    rng = random.Random(4)
+    said = [(k, " ".join(rng.choices("abcdefghij", k=rng.randint(0, 9)))) for k in range(30)]
+    texts = [(" ".join(rng.choices("abcdefghijkl", k=rng.randint(0, 12))),) for _ in range(40)] + [(None,)]
+    want = {k: max(len(set(q.split()) & set((t or "").split())) / max(1, len(set(q.split()) | set((t or "").split()))) for (t,) in texts) for k, q in said}
+    q, t = spark.createDataFrame(said, "id long, text string"), spark.createDataFrame(texts, "text string").repartition(3)
+    for block in (20_000, 7):
+        got = {r.id: r.score for r in evidence.best_overlap(q, "id", "text", t, "text", block).collect()}
+        assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in want)
+    assert {r.score for r in evidence.best_overlap(q, "id", "text", t.limit(0), "text").collect()} == {None}
+    assert evidence.best_overlap(q.limit(0), "id", "text", t, "text").count() == 0
 
 
 def test_logistic(spark):
@@ -222,6 +274,8 @@ def test_article_dates_and_names(spark):
     assert one(spark, speech.published_at(c), t="31/02/2020 - 10:00") is None and one(spark, speech.updated_at(c), t="none") is None
     assert [tuple(m) for m in one(spark, speech.weekday_mentions(c), t=a)] == [("Nesta TERÇA-feira (3)", True, 1, 3), ("sexta-feira (31)", False, 4, 31)]
     n, i = F.lit("PRESIDENTE"), F.col("t")
+    assert [one(spark, speech.is_party_info(c), t=x) for x in ("PT-SP", "PT - SP", "Bloco/PT", "OPTOMETRISTA")] == [False, True, True, False]
+    assert [one(spark, speech.turn_name_candidates(n, c), t=x) for x in ("Ana. Rede - SP", "Ana Silva", "PT - SP", "")] == [["PRESIDENTE", "Ana"], ["PRESIDENTE", "Ana Silva"], ["PRESIDENTE"], ["PRESIDENTE"]]
     assert one(spark, speech.resolve_turn_name(n, i), t="Ana Silva. Bloco/PT - SP") == "Ana Silva" and one(spark, speech.turn_party(n, i), t="Ana Silva. Bloco/PT - SP") == "Bloco/PT - SP"
     assert one(spark, speech.resolve_turn_name(n, i), t="Ana Silva") == "PRESIDENTE" and one(spark, speech.turn_party(n, i), t="Ana Silva") is None
     assert one(spark, speech.parse_level(c, ["sim", "nao"]), t=" Não, porque") == "nao" and one(spark, speech.coverage_bucket(F.lit(7), [3, 6, 10])) == 6
