@@ -111,6 +111,21 @@ def counts(members: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount((members % np.uint64(LANES)).astype(np.int64), minlength=LANES), 127).astype(np.int8)
 
 
+def coarse(members: np.ndarray) -> np.ndarray:
+    """Counts of 16 lanes, up to 255, packed into two integers: they travel with a set's keys."""
+    return np.minimum(np.bincount((members % np.uint64(16)).astype(np.int64), minlength=16), 255).astype(np.uint8).view("<i8")
+
+
+def may_be_alike_coarsely(a: list[Column], b: list[Column], size_a: Column, size_b: Column) -> Column:
+    """may_be_alike() by packed counts and sizes, as a join's own condition; false for no similar pair."""
+    differ = F.lit(0)
+    for x, y in zip(a, b):
+        for k in range(0, 64, 8):
+            differ = differ + F.abs(F.shiftrightunsigned(x, k).bitwiseAND(F.lit(255)) - F.shiftrightunsigned(y, k).bitwiseAND(F.lit(255)))
+    fits = (size_a * NUMERATOR <= size_b * DENOMINATOR) & (size_b * NUMERATOR <= size_a * DENOMINATOR)
+    return fits & (differ * (DENOMINATOR + NUMERATOR) <= (size_a + size_b) * (DENOMINATOR - NUMERATOR))
+
+
 def may_be_alike(a: Column, b: Column, total: Column) -> Column:
     """Whether the counts of two sets of so many members leave room for a similarity of 0.8; false for no similar pair.
 
