@@ -112,16 +112,17 @@ def counts(members: np.ndarray) -> np.ndarray:
 
 
 def coarse(members: np.ndarray) -> np.ndarray:
-    """Counts of 16 lanes, up to 255, packed into two integers: they travel with a set's keys."""
-    return np.minimum(np.bincount((members % np.uint64(16)).astype(np.int64), minlength=16), 255).astype(np.uint8).view("<i8")
+    """Counts of 128 lanes, none, one or more, as two bits each that differ where counts do: four integers that travel with a set's keys."""
+    n = np.bincount((members % np.uint64(128)).astype(np.int64), minlength=128)
+    return np.packbits(np.concatenate([n > 0, n > 1]), bitorder="little").view("<i8")
 
 
 def may_be_alike_coarsely(a: list[Column], b: list[Column], size_a: Column, size_b: Column) -> Column:
-    """may_be_alike() by packed counts and sizes, as a join's own condition; false for no similar pair."""
-    differ = F.lit(0)
-    for x, y in zip(a, b):
-        for k in range(0, 64, 8):
-            differ = differ + F.abs(F.shiftrightunsigned(x, k).bitwiseAND(F.lit(255)) - F.shiftrightunsigned(y, k).bitwiseAND(F.lit(255)))
+    """may_be_alike() by those integers and the sizes, as a join's own condition; false for no similar pair.
+
+    Four segments of differing bits are added up, and no sum may pass what all of them may have.
+    """
+    differ = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b)), F.lit(0))
     fits = (size_a * NUMERATOR <= size_b * DENOMINATOR) & (size_b * NUMERATOR <= size_a * DENOMINATOR)
     return fits & (differ * (DENOMINATOR + NUMERATOR) <= (size_a + size_b) * (DENOMINATOR - NUMERATOR))
 

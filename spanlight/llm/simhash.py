@@ -28,6 +28,7 @@ from .components import components
 
 SEED = 42
 SEGMENTS, SEGMENT_BITS = 4, 16
+COARSE = ("c0", "c1", "c2", "c3")
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -138,7 +139,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, node, fp, size, c0, c1, counts) of every row: the name of its set, the set's fingerprint, size, coarse and fine counts."""
+    """(id, node, fp, size, c0 to c3, counts) of every row: the name of its set, the set's fingerprint, size, coarse and fine counts."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [jaccard.shingles(t) for t in batch.column(1).to_pylist()]
@@ -148,13 +149,13 @@ def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             pa.array([jaccard.digest(m) for m in found], pa.int64()),
             pa.array([majority(m) if len(m) else 0 for m in found], pa.int64()),
             pa.array(map(len, found), pa.int32()),
-            *(pa.array([int(c[k]) for c in packed], pa.int64()) for k in (0, 1)),
+            *(pa.array([int(c[k]) for c in packed], pa.int64()) for k in range(4)),
             pa.array([jaccard.counts(m) for m in found], pa.list_(pa.int8())),
         ]
-        return pa.RecordBatch.from_arrays(columns, ["id", "node", "fp", "size", "c0", "c1", "counts"])
+        return pa.RecordBatch.from_arrays(columns, ["id", "node", "fp", "size", *COARSE, "counts"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text")), run, f"id {kind}, node bigint, fp bigint, size int, c0 bigint, c1 bigint, counts array<tinyint>")
+    return map_batches(docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text")), run, f"id {kind}, node bigint, fp bigint, size int, c0 bigint, c1 bigint, c2 bigint, c3 bigint, counts array<tinyint>")
 
 
 def _left(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -191,9 +192,9 @@ def _roots(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, max_bit
     met = cut(jaccard.keyed(docs, text_col).withColumn("least", F.first("node").over(least)).filter("node > least").distinct())
     first = cut(_left(met.select(F.col("least").alias("u"), F.col("node").alias("v")).union(near), nodes))
     roots = cut(components(_linked(first, docs, rows, id_col, text_col, repeated), "u", "v"))
-    held = met.join(nodes, "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), "size", "c0", "c1")
+    held = met.join(nodes, "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), "size", *COARSE)
     a, b = (held.select(*(F.col(c).alias(f"{c}_{s}") for c in held.columns)) for s in "ab")
-    packed = ([F.col(f"{c}_{s}") for c in ("c0", "c1")] for s in "ab")
+    packed = ([F.col(f"{c}_{s}") for c in COARSE] for s in "ab")
     room = jaccard.may_be_alike_coarsely(*packed, F.col("size_a"), F.col("size_b"))
     rest = a.join(b, (F.col("key_a") == F.col("key_b")) & (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & room)
     rest = cut(_left(rest.select(F.col("node_a").alias("u"), F.col("node_b").alias("v")), nodes))
