@@ -8,8 +8,9 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from spanlight.llm import bpe, mixing, quality, toxicity
+from tests.llm.test_jaccard import plain_set, similar
 from tests.llm.test_quality import plain as base_counts
-from tests.llm.test_simhash import plain_components, plain_fingerprint
+from tests.llm.test_simhash import plain_components
 
 AT = "/root/testdata/sf0.001"
 SPACES = " \t\n\x0b\x0c\r"
@@ -41,9 +42,9 @@ def test_run(spark):
     field = toxicity.fit(docs, toxicity.train_split(labels))
     scores = toxicity.score_texts(list(kept.values()), toxicity._Emissions(field))
     kept = {k: t for (k, t), (s, _) in zip(kept.items(), scores) if s < toxicity.THRESHOLD}
-    fps = {k: plain_fingerprint(t) for k, t in kept.items()}
-    near = [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 3]
-    root = plain_components(fps, near)
+    sets = {k: plain_set(t) for k, t in kept.items()}
+    near = [(a, b) for a in sets for b in sets if a < b and similar(sets[a], sets[b])]
+    root = plain_components(sets, near)
     kept = {k: t for k, t in kept.items() if root[k] == k}
     docs = spark.createDataFrame([(k, t, lang[k]) for k, t in kept.items()], "doc_id long, text string, lang string")
     rates, plan = mixing.fit_rates(docs, mixing.by_language(docs), mixing.TARGETS, lossless=True)
