@@ -22,8 +22,8 @@ from .common import map_batches, schema_ddl, utf8
 #: Words of a shingle, and the least similarity of a link, as a fraction.
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 4, 5
 SEED = 42
-#: Words whose hashes a worker remembers, and lanes of counts().
-WORDS, LANES = 100_000, 256
+#: Words whose hashes a worker remembers, lanes of counts(), and lanes of coarse(), 64 to an integer.
+WORDS, LANES, PARITIES = 100_000, 256, 512
 #: Rows of one batch of keys, about; a text's own are never split.
 KEY_ROWS = 200_000
 #: Bits of a key: fewer make a smaller shuffle, and more sets that meet by chance.
@@ -112,15 +112,18 @@ def counts(members: np.ndarray) -> np.ndarray:
 
 
 def coarse(members: np.ndarray) -> np.ndarray:
-    """Counts of 128 lanes, none, one or more, as two bits each that differ where counts do: four integers that travel with a set's keys."""
-    n = np.bincount((members % np.uint64(128)).astype(np.int64), minlength=128)
-    return np.packbits(np.concatenate([n > 0, n > 1]), bitorder="little").view("<i8")
+    """Whether the members in each of PARITIES lanes are odd in number: integers that travel with a set's keys.
+
+    A member that only one of two sets has changes one lane, so no more lanes differ than members do.
+    """
+    n = np.bincount((members % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES)
+    return np.packbits(n % 2 == 1, bitorder="little").view("<i8")
 
 
 def may_be_alike_coarsely(a: list[Column], b: list[Column], size_a: Column, size_b: Column) -> Column:
     """may_be_alike() by those integers and the sizes, as a join's own condition; false for no similar pair.
 
-    Four segments of differing bits are added up, and no sum may pass what all of them may have.
+    Segments of differing lanes are added up, and no sum may pass what all of them may have.
     """
     differ = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b)), F.lit(0))
     fits = (size_a * NUMERATOR <= size_b * DENOMINATOR) & (size_b * NUMERATOR <= size_a * DENOMINATOR)

@@ -28,7 +28,7 @@ from .components import components
 
 SEED = 42
 SEGMENTS, SEGMENT_BITS = 4, 16
-COARSE = ("c0", "c1", "c2", "c3")
+COARSE = tuple(f"c{k}" for k in range(jaccard.PARITIES // 64))
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -139,7 +139,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, node, fp, size, c0 to c3, counts) of every row: the name of its set, the set's fingerprint, size, coarse and fine counts."""
+    """(id, node, fp, size, c0 to c7, counts) of every row: the name of its set, the set's fingerprint, size, coarse and fine counts."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [jaccard.shingles(t) for t in batch.column(1).to_pylist()]
@@ -149,13 +149,14 @@ def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             pa.array([jaccard.digest(m) for m in found], pa.int64()),
             pa.array([majority(m) if len(m) else 0 for m in found], pa.int64()),
             pa.array(map(len, found), pa.int32()),
-            *(pa.array([int(c[k]) for c in packed], pa.int64()) for k in range(4)),
+            *(pa.array([int(c[k]) for c in packed], pa.int64()) for k in range(len(COARSE))),
             pa.array([jaccard.counts(m) for m in found], pa.list_(pa.int8())),
         ]
         return pa.RecordBatch.from_arrays(columns, ["id", "node", "fp", "size", *COARSE, "counts"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text")), run, f"id {kind}, node bigint, fp bigint, size int, c0 bigint, c1 bigint, c2 bigint, c3 bigint, counts array<tinyint>")
+    lanes = ", ".join(f"{c} bigint" for c in COARSE)
+    return map_batches(docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text")), run, f"id {kind}, node bigint, fp bigint, size int, {lanes}, counts array<tinyint>")
 
 
 def _left(pairs: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -79,11 +79,12 @@ def test_counts_never_part_similar_sets(spark):
         b = np.unique(np.r_[rng.permutation(a)[gone:], rng.integers(0, 2**64, int(rng.integers(0, n // 6 + 1)), dtype=np.uint64)])
         rows.append((jaccard.counts(a).tolist(), jaccard.counts(b).tolist(), len(a) + len(b), *jaccard.coarse(a).tolist(), *jaccard.coarse(b).tolist(), len(a), len(b)))
         want.append(jaccard.alike(a, b))
-    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, a array<tinyint>, b array<tinyint>, n int, a0 long, a1 long, a2 long, a3 long, b0 long, b1 long, b2 long, b3 long, na int, nb int")
+    lanes = ", ".join(f"{s}{k} long" for s in "ab" for k in range(jaccard.PARITIES // 64))
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], f"k int, a array<tinyint>, b array<tinyint>, n int, {lanes}, na int, nb int")
     left = {r.k for r in df.filter(jaccard.may_be_alike(F.col("a"), F.col("b"), F.col("n"))).collect()}
     assert {k for k, w in enumerate(want) if w} <= left and 0 < len(left) < len(rows)
     c = F.col
-    room = jaccard.may_be_alike_coarsely(*([c(f"{s}{k}") for k in range(4)] for s in "ab"), c("na"), c("nb"))
+    room = jaccard.may_be_alike_coarsely(*([c(f"{s}{k}") for k in range(jaccard.PARITIES // 64)] for s in "ab"), c("na"), c("nb"))
     coarsely = {r.k for r in df.filter(room).collect()}
     assert {k for k, w in enumerate(want) if w} <= coarsely and 0 < len(coarsely) < len(rows)
 
