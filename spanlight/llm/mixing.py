@@ -20,8 +20,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import byte_pairs, text_column, vocabulary_path
+from .bpe import text_column, vocabulary_path
 from .common import cut, id_crc32, map_batches, schema_ddl, table, utf8
+from .tokenfiles import library_codes
 
 BINS = 2048
 #: The bound of the labelled sample that the driver learns from, in documents, by the hash of their ids.
@@ -100,7 +101,7 @@ def with_tokens(docs: DataFrame, text_col: str = "text", path: str | None = None
     names, path = docs.columns, path or vocabulary_path()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counts = list(map(len, byte_pairs(path).encode_all(text_column(batch.column(len(names))))))
+        counts = library_codes(path).count(text_column(batch.column(len(names))))
         return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts, pa.int64())], [*names, "__n"])
 
     return map_batches(docs.select("*", utf8(text_col).alias("__t")), run, f"{schema_ddl(docs)}, __n bigint")

@@ -158,18 +158,25 @@ class PieceCodes:
         if self.new.held > MEMORY:
             self.old, self.new = self.new, _Known(self.kind)
 
-    def _lined(self, values: pa.Array, ends: np.ndarray) -> list[np.ndarray]:
-        """The ids of texts whose pieces are values, text k's up to ends[k + 1]."""
+    def _lined(self, values: pa.Array, ends: np.ndarray, counted: bool) -> list:
+        """The ids, or if counted their numbers, of texts whose pieces are values, text k's up to ends[k + 1]."""
         numbered = values.dictionary_encode()
         distinct = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
         at = self.numbers(distinct)[numbered.indices.to_numpy()]
-        out = self.new.runs(at)
         edges = np.concatenate([[0], np.cumsum(self.new.size[at])])[ends]
+        out = None if counted else self.new.runs(at)
         self._bounded(distinct)
-        return [out[a:b] for a, b in zip(edges.tolist(), edges[1:].tolist())]
+        return np.diff(edges).tolist() if counted else [out[a:b] for a, b in zip(edges.tolist(), edges[1:].tolist())]
 
     def encode(self, texts: pa.Array | list[str]) -> list[np.ndarray]:
         """The ids of each text; texts hold no null."""
+        return self._each(texts, False)
+
+    def count(self, texts: pa.Array | list[str]) -> list[int]:
+        """How many ids each text has; texts hold no null."""
+        return self._each(texts, True)
+
+    def _each(self, texts: pa.Array | list[str], counted: bool) -> list:
         texts = pa.array(texts, pa.large_string())
         if not len(texts):
             return []
@@ -178,12 +185,12 @@ class PieceCodes:
             odd = pc.or_(odd, pc.match_substring(texts, s))
         marked = pc.replace_substring(pc.if_else(odd, "", texts), " ", _MARK + " ")
         cut = pc.split_pattern(marked, _MARK)
-        out = self._lined(cut.values, cut.offsets.to_numpy())
+        out = self._lined(cut.values, cut.offsets.to_numpy(), counted)
         where = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
         if len(where):
             lists = [self.cut(texts[k].as_py()) for k in where.tolist()]
             ends = np.concatenate([[0], np.cumsum(list(map(len, lists)))])
-            found = self._lined(pa.array([p for x in lists for p in x], pa.large_string()), ends)
+            found = self._lined(pa.array([p for x in lists for p in x], pa.large_string()), ends, counted)
             for k, ids in zip(where.tolist(), found):
                 out[k] = ids
         return out

@@ -49,3 +49,11 @@ def test_empty(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string")
     uri = f"file://{tmp_path}/none"
     assert tokenfiles.read_documents(tokenfiles.write_shards(docs, uri), uri).count() == 0
+
+
+def test_counts_are_those_of_the_ids():
+    texts = ["", " ", "a  b", "one\n two\tthree", "ein Wort, ein anderes", "</s><s> x", "\0 y", "語 " * 40, "long" * 90, "one\n two\tthree"]
+    codes = tokenfiles.library_codes(bpe.vocabulary_path())
+    want = [len(library_ids(t)) - 1 for t in texts]
+    assert codes.count(texts) == list(map(len, codes.encode(texts))) == want
+    assert codes.count([]) == []
