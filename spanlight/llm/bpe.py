@@ -8,7 +8,6 @@ list and the new pairs on both sides are pushed. Decoding concatenates the vocab
 from __future__ import annotations
 
 import json
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from itertools import chain
 
@@ -18,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, table, utf8
-from .tokens import Encoded, PieceCodes
+from .tokens import Encoded, PieceCodes, held
 
 #: The vocabulary of the queries; a parameter of the operators.
 VOCABULARY = "byte_bpe_50k.json"
@@ -115,10 +114,9 @@ class BytePairs:
         return b"".join(map(self.strings.__getitem__, np.asarray(ids).tolist())).decode(errors="replace")
 
 
-@lru_cache(maxsize=2)
 def byte_pairs(path: str) -> BytePairs:
     """One for each worker process."""
-    return BytePairs(path)
+    return held(BytePairs, path)
 
 
 def texts_of(column: pa.Array) -> list[str]:

@@ -96,15 +96,20 @@ def with_posteriors(docs: DataFrame, model: Classifier, text_col: str = "text")
     return map_batches(docs.select("*", utf8(text_col).alias("__t")), run, f"{schema_ddl(docs)}, __p array<double>")
 
 
-def with_tokens(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
-    """docs with __n bigint, the number of the text's ids in a vocabulary (bpe.VOCABULARY unless path names one); null texts have none. No shuffle."""
-    names, path = docs.columns, path or vocabulary_path()
+def with_tokens(docs: DataFrame, model: Classifier, text_col: str = "text", path: str | None = None) -> DataFrame:
+    """docs without text_col, with __p array<double> and __n bigint, the number of the text's ids in a vocabulary (bpe.VOCABULARY
+    unless path names one); null texts are empty. One pass, no shuffle."""
+    rest, path = docs.drop(text_col), path or vocabulary_path()
+    names = rest.columns
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counts = library_codes(path).count(text_column(batch.column(len(names))))
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts, pa.int64())], [*names, "__n"])
+        texts = batch.column(len(names))
+        counts = pa.array(library_codes(path).count(text_column(texts)), pa.int64())
+        posteriors = pa.array(model.posteriors(texts.to_pylist()).tolist(), pa.list_(pa.float64()))
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], counts, posteriors], [*names, "__n", "__p"])
 
-    return map_batches(docs.select("*", utf8(text_col).alias("__t")), run, f"{schema_ddl(docs)}, __n bigint")
+    given = docs.select(*(F.col(f"`{c}`") for c in names), utf8(text_col).alias("__t"))
+    return map_batches(given, run, ", ".join(x for x in (schema_ddl(rest), "__n bigint", "__p array<double>") if x))
 
 
 @dataclass
@@ -211,7 +216,7 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], id_col:
     Null texts are empty. Rows that share an id have the same draw; rows without one too.
     """
     model = fit_classifier(docs, labelled, id_col, text_col, domain_col)
-    scored = cut(with_posteriors(with_tokens(docs.select(text_col), text_col), model, text_col).select("__n", "__p"))
+    scored = cut(with_tokens(docs.select(text_col), model, text_col))
     plan = solve(scored, model.domains, weights, lossless)
     counted = with_rates(with_posteriors(docs, model, text_col), plan).withColumn("__c", copies(F.col("__r"), F.col(id_col))).filter("__c > 0")
     return counted.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("__c")))).select(docs.columns)
@@ -224,7 +229,7 @@ def fit_rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], i
     n_tokens counts ids of bpe.VOCABULARY. A null text is empty: no tokens, the classifier's prior. Repeated rows count each.
     """
     model = fit_classifier(docs, labelled, id_col, text_col, domain_col)
-    scored = cut(with_posteriors(with_tokens(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))), model).select("id", "__n", "__p"))
+    scored = cut(with_tokens(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), model))
     plan = solve(scored, model.domains, weights, lossless)
     names = F.array(*map(F.lit, model.domains)).cast("array<string>")
     best = F.try_element_at(names, F.array_position("__p", F.array_max("__p")).cast("int")) if model.domains else F.lit(None).cast("string")

@@ -14,7 +14,6 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .bpe import text_column, vocabulary_path
 from .common import cut, file_system, scratch, small_batches, table, utf8
-from .tokens import Encoded, PieceCodes
+from .tokens import Encoded, PieceCodes, held
 
 #: Sequences of one Arrow batch.
 BATCH = 64
@@ -34,9 +33,12 @@ END_ID = 2
 GROUP = 512
 
 
-@lru_cache(maxsize=2)
 def library_codes(path: str) -> PieceCodes:
-    """The tokenizers library's ids of 16 or 32 bits."""
+    """The tokenizers library's ids of 16 or 32 bits; one for each worker process."""
+    return held(_library_codes, path)
+
+
+def _library_codes(path: str) -> PieceCodes:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 

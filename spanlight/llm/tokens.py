@@ -57,6 +57,17 @@ def _runs(first: np.ndarray, size: np.ndarray, flat: np.ndarray) -> np.ndarray:
     return out
 
 
+_HELD: dict = {}
+
+
+def held(make: Callable, path: str):
+    """make(path), kept by the process until another is asked for: workers outlive a stage, and its coder goes with the next one."""
+    if (make, path) not in _HELD:
+        _HELD.clear()
+        _HELD[make, path] = make(path)
+    return _HELD[make, path]
+
+
 class _Known:
     """Names and the ids of each, in arrays that grow."""
 
