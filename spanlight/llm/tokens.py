@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ _ODD = "  |\n |[" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITE if c not in " \n
 #: Bytes of either half of a worker's memory, about; code points of the longest piece that it keeps; bytes of an
 #: entry besides its own; ids put together at once, about.
 MEMORY, LONGEST, _ENTRY, _AT_ONCE = 45_000_000, 64, 200, 1 << 20
+#: Texts that count() cuts at once.
+COUNTED = 128
 
 #: Words, their ids one after the other, and the number of ids of each.
 Encoded = tuple[list[str], np.ndarray, np.ndarray]
@@ -157,10 +160,13 @@ class PieceCodes:
 
     def numbers(self, distinct: list[str]) -> np.ndarray:
         """The number of each piece in the new half."""
-        fresh = self._words(distinct)
-        if fresh:
+        out = np.fromiter(map(self.new.at.get, distinct, repeat(-1)), np.int64, len(distinct))
+        lost = np.flatnonzero(out < 0)
+        names = [distinct[k] for k in lost.tolist()]
+        if fresh := self._words(names):
             self._learn(fresh)
-        return np.fromiter(map(self.new.at.__getitem__, distinct), np.int64, len(distinct))
+        out[lost] = np.fromiter(map(self.new.at.__getitem__, names), np.int64, len(names))
+        return out
 
     def _bounded(self, distinct: list[str]) -> None:
         for p in distinct:
@@ -184,8 +190,8 @@ class PieceCodes:
         return self._each(texts, False)
 
     def count(self, texts: pa.Array | list[str]) -> list[int]:
-        """How many ids each text has; texts hold no null."""
-        return self._each(texts, True)
+        """How many ids each text has; texts hold no null. Some texts at a time, for only counts are kept."""
+        return [n for k in range(0, len(texts), COUNTED) for n in self._each(texts[k : k + COUNTED], True)]
 
     def _each(self, texts: pa.Array | list[str], counted: bool) -> list:
         texts = pa.array(texts, pa.large_string())
