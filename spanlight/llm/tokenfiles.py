@@ -82,7 +82,13 @@ def _library_codes(path: str) -> PieceCodes:
                     found = some, np.concatenate(each), np.array(list(map(len, each)))
                 yield found
 
-    return PieceCodes(encode, special, kind)
+    def joined(text: str, n: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """Pieces of a space and others that follow it, cut like spaced()."""
+        ids = ids_of([text])[0]
+        at = np.flatnonzero(opens[ids])
+        return (ids, np.diff(at, append=len(ids))) if len(at) == n and not at[0] else None
+
+    return PieceCodes(encode, special, kind, joined)
 
 
 def _schema(width: int, length: int) -> pa.Schema:

@@ -57,3 +57,27 @@ def test_counts_are_those_of_the_ids():
     want = [len(library_ids(t)) - 1 for t in texts]
     assert codes.count(texts) == list(map(len, codes.encode(texts))) == want
     assert codes.count([]) == []
+
+
+def test_pieces_of_the_table_are_those_of_the_library(monkeypatch):
+    """Lengths about the table's bound, line ends, bytes 0, non-ASCII letters; halves that turn over within a text."""
+    words = ["a", "a\0", "\0", "a\0\0", "x" * 13, "x" * 14, "x" * 15, "x" * 16, "é" * 7, "é" * 8, "foo,", "foo.\nBar", "\n", "\n\n", "don't", "'s", "12½", *(f"w{k}" for k in range(90))]
+    rng = np.random.default_rng(4)
+    texts = [" ".join(words[k] for k in rng.integers(0, len(words), n)) + end for n in (0, 1, 2, 9, 400) * 6 for end in ("", " ", "\n", "\n\n")]
+    texts += ["\nfoo", "foo\nbar baz", "foo \nbar", "foo\n\nbar", " ", "\n"]
+    want = [library_ids(t)[:-1] for t in texts]
+    for slots in (16, 64, 1 << 12):
+        monkeypatch.setattr("spanlight.llm.tokens.SLOTS", slots)
+        codes = tokenfiles._library_codes(bpe.vocabulary_path())
+        for _ in range(2):
+            assert [x.tolist() for x in codes.encode(texts)] == want
+            assert codes.count(texts) == list(map(len, want))
+        assert len(codes.table.low) == slots and codes.table.n <= 0.75 * slots + 1
+
+
+def test_known_pieces_reach_neither_the_library_nor_a_dictionary():
+    texts = ["One text, some words of which are short. " * 3 + f"w{k}\nLine" for k in range(50)]
+    codes = tokenfiles._library_codes(bpe.vocabulary_path())
+    want = [x.tolist() for x in codes.encode(texts)]
+    codes.numbers = codes.encode_words = codes.encode_spaced = None
+    assert [x.tolist() for x in codes.encode(texts)] == want == [library_ids(t)[:-1] for t in texts]
