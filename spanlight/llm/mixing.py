@@ -85,17 +85,6 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id",
     return train(rows.column("text").to_pylist(), rows.column("domain").to_pylist())
 
 
-def with_posteriors(docs: DataFrame, model: Classifier, text_col: str = "text") -> DataFrame:
-    """docs with __p array<double>; null texts are empty. No shuffle."""
-    names = docs.columns
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        posteriors = pa.array(model.posteriors(batch.column(len(names)).to_pylist()).tolist(), pa.list_(pa.float64()))
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], posteriors], [*names, "__p"])
-
-    return map_batches(docs.select("*", utf8(text_col).alias("__t")), run, f"{schema_ddl(docs)}, __p array<double>")
-
-
 def with_tokens(docs: DataFrame, model: Classifier, text_col: str = "text", path: str | None = None) -> DataFrame:
     """docs without text_col, with __p array<double> and __n bigint, the number of the text's ids in a vocabulary (bpe.VOCABULARY
     unless path names one); null texts are empty. One pass, no shuffle."""
@@ -151,6 +140,17 @@ def with_rates(scored: DataFrame, plan: Plan) -> DataFrame:
     return map_batches(scored, run, f"{schema_ddl(scored)}, __r double")
 
 
+def with_text_rates(docs: DataFrame, model: Classifier, plan: Plan, text_col: str = "text") -> DataFrame:
+    """docs and __r double, each text's rate; null texts are empty. One pass of one worker a task, no shuffle."""
+    names = docs.columns
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rates = plan.rates(model.posteriors(batch.column(len(names)).to_pylist()))
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rates, pa.float64())], [*names, "__r"])
+
+    return map_batches(docs.select("*", utf8(text_col).alias("__t")), run, f"{schema_ddl(docs)}, __r double")
+
+
 def _totals(scored: DataFrame, plan: Plan) -> np.ndarray:
     """Expected token totals by domain under the plan so far: one row from each partition."""
     size = len(plan.domains)
@@ -218,7 +218,7 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], id_col:
     model = fit_classifier(docs, labelled, id_col, text_col, domain_col)
     scored = cut(with_tokens(docs.select(text_col), model, text_col))
     plan = solve(scored, model.domains, weights, lossless)
-    counted = with_rates(with_posteriors(docs, model, text_col), plan).withColumn("__c", copies(F.col("__r"), F.col(id_col))).filter("__c > 0")
+    counted = with_text_rates(docs, model, plan, text_col).withColumn("__c", copies(F.col("__r"), F.col(id_col))).filter("__c > 0")
     return counted.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("__c")))).select(docs.columns)
 
 

@@ -28,6 +28,8 @@ from .components import components
 
 SEED = 42
 SEGMENTS, SEGMENT_BITS = 4, 16
+#: Lesser keys that travel with a key, so that a pair is put out at few of its common ones.
+BEFORE = 16
 COARSE = tuple(f"c{k}" for k in range(jaccard.PARITIES // 64))
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -159,6 +161,26 @@ def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_batches(docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text")), run, f"id {kind}, node bigint, fp bigint, size int, {lanes}, counts array<tinyint>")
 
 
+def _with_before(met: DataFrame) -> DataFrame:
+    """met (key, node; distinct rows) and before array<bigint>, the node's BEFORE next lesser keys."""
+    lesser = Window.partitionBy("node").orderBy("key").rowsBetween(-BEFORE, -1)
+    return met.withColumn("before", F.collect_list("key").over(lesser))
+
+
+def _meeting(held: DataFrame) -> DataFrame:
+    """(u, v) of nodes of different roots that meet at a key and whose parities leave room for a link, at few of their common keys.
+
+    Of held (key, before, node, root, size, c0 to c7). A pair is left out at a key where both have a common key right before
+    it: it meets there too, and at its least common key it is never left out.
+    """
+    a, b = (held.select(*(F.col(c).alias(f"{c}_{s}") for c in held.columns)) for s in "ab")
+    packed = ([F.col(f"{c}_{s}") for c in COARSE] for s in "ab")
+    room = jaccard.may_be_alike_coarsely(*packed, F.col("size_a"), F.col("size_b"))
+    met = (F.col("key_a") == F.col("key_b")) & (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b"))
+    pairs = a.join(b, met & room & ~F.arrays_overlap("before_a", "before_b"))
+    return pairs.select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))
+
+
 def _left(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The distinct pairs (u, v) of nodes whose counts leave room for a link."""
     pairs = pairs.distinct()
@@ -193,12 +215,8 @@ def _roots(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, max_bit
     met = cut(jaccard.keyed(docs, text_col).withColumn("least", F.first("node").over(least)).filter("node > least").distinct())
     first = cut(_left(met.select(F.col("least").alias("u"), F.col("node").alias("v")).union(near), nodes))
     roots = cut(components(_linked(first, docs, rows, id_col, text_col, repeated), "u", "v"))
-    held = met.join(nodes, "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), "size", *COARSE)
-    a, b = (held.select(*(F.col(c).alias(f"{c}_{s}") for c in held.columns)) for s in "ab")
-    packed = ([F.col(f"{c}_{s}") for c in COARSE] for s in "ab")
-    room = jaccard.may_be_alike_coarsely(*packed, F.col("size_a"), F.col("size_b"))
-    rest = a.join(b, (F.col("key_a") == F.col("key_b")) & (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & room)
-    rest = cut(_left(rest.select(F.col("node_a").alias("u"), F.col("node_b").alias("v")), nodes))
+    held = _with_before(met.select("key", "node")).join(nodes, "node").join(roots, "node", "left")
+    rest = cut(_left(_meeting(held.select("key", "before", "node", F.coalesce("root", "node").alias("root"), "size", *COARSE)), nodes))
     more = _linked(rest, docs, rows, id_col, text_col, repeated)
     return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more), "u", "v")
 

@@ -75,3 +75,10 @@ def test_tokens_are_ids_of_the_vocabulary(spark):
     rates, _ = M.fit_rates(docs, docs, {"p": 1.0})
     got = {r.id: r.n_tokens for r in rates.collect()}
     assert got == {k: len(library.encode(t or "", add_special_tokens=False).ids) for k, t in enumerate(texts)}
+
+
+def test_mixing_takes_one_worker_a_task(spark):
+    docs = spark.createDataFrame([(k, "aaa bbb " * k, "pq"[k % 2]) for k in range(1, 9)], "doc_id long, text string, domain string")
+    mixed = M.mix(docs, docs, {"p": 0.5, "q": 0.5})
+    assert mixed._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert {r.doc_id for r in mixed.collect()} == set(range(1, 9))
